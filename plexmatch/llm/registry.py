@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, packing, pii, sharding
 
 
 def queries() -> dict:
     return {
         "op1_feistel_shards": sharding.op1_feistel_shards,
+        "op4_packed_sequences": packing.op4_packed_sequences,
+        "op5_personal_data": pii.op5_personal_data,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
