@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pii, sharding
+from . import exact_dedup, language_id, packing, pii, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_feistel_shards": sharding.op1_feistel_shards,
         "op4_packed_sequences": packing.op4_packed_sequences,
         "op5_personal_data": pii.op5_personal_data,
+        "op6_language_id": language_id.op6_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }
 
