@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, pii, sharding
+from . import exact_dedup, language_id, lm_scoring, packing, pii, sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_personal_data": pii.op5_personal_data,
         "op6_language_id": language_id.op6_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op10_lattice_scores": lm_scoring.op10_lattice_scores,
     }
 
 
