@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, lm_scoring, packing, pii, sharding
+from . import decontaminate, exact_dedup, language_id, lm_scoring, packing, pii, quality, sharding
 
 
 def queries() -> dict:
@@ -12,9 +12,11 @@ def queries() -> dict:
         "op5_personal_data": pii.op5_personal_data,
         "op6_language_id": language_id.op6_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_quality_scores": quality.op8_quality_scores,
+        "op9_contaminated": decontaminate.op9_contaminated,
         "op10_lattice_scores": lm_scoring.op10_lattice_scores,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_feistel_shards": sharding.OP1_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op1_feistel_shards": sharding.OP1_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op9_contaminated": decontaminate.OP9_SQL}
