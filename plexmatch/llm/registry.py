@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, lm_scoring, packing, pii, quality, sharding
+from . import decontaminate, exact_dedup, language_id, lm_scoring, minhash, packing, pii, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op1_feistel_shards": sharding.op1_feistel_shards,
+        "op2_near_duplicates": minhash.op2_near_duplicates,
         "op4_packed_sequences": packing.op4_packed_sequences,
         "op5_personal_data": pii.op5_personal_data,
         "op6_language_id": language_id.op6_language_id,
