@@ -36,6 +36,7 @@ def store(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the plan just written
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, lm_scoring, minhash, packing, pii, quality, sharding
+from . import decontaminate, exact_dedup, language_id, lm_scoring, minhash, packing, pii, quality, sharding, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_feistel_shards": sharding.op1_feistel_shards,
         "op2_near_duplicates": minhash.op2_near_duplicates,
+        "op3_repeated_words": substring_dedup.op3_repeated_words,
         "op4_packed_sequences": packing.op4_packed_sequences,
         "op5_personal_data": pii.op5_personal_data,
         "op6_language_id": language_id.op6_language_id,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_feistel_shards": sharding.OP1_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op9_contaminated": decontaminate.OP9_SQL}
+    return {"op1_feistel_shards": sharding.OP1_SQL, "op3_repeated_words": substring_dedup.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op9_contaminated": decontaminate.OP9_SQL}
