@@ -88,3 +88,13 @@ def shuffle_width(spark: SparkSession) -> int:
 def crc_mod(column, m: int):
     """crc32(doc_id as text) mod m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % m
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose numbers `dropped` (column row) holds; all columns stay.
+
+    Operators number rows as partition << 33 plus place, as monotonically_increasing_id() does; docs
+    has to be read from files, so that both passes cut it alike.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.monotonically_increasing_id().alias("row"))
+    return whole.join(dropped.select("row"), "row", "left_anti").select("document.*")

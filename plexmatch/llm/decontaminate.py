@@ -130,8 +130,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows in which an item of the benchmark is found; all columns stay."""
-    bad = contaminated(docs, benchmark).select(F.col("text_md5").alias("_bad_md5")).distinct()
-    return docs.join(bad, F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("_bad_md5"), "left_anti")
+    bad = contaminated(docs, benchmark).select("text_md5").distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+    return whole.join(bad, "text_md5", "left_anti").select("document.*")
 
 
 def op9_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:

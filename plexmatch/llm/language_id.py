@@ -25,6 +25,7 @@ WITNESS_DECLARED, WITNESS_ADDRESS = 0.9, 0.8  # chance that a witness names the
 HOST_WEIGHT = 20.0  # rows of its parent that a host's or domain's counts are smoothed with
 UND, UND_PRIOR = "und", 1e-3
 LEAST_POSTERIOR = 0.3
+ACCEPTED = f"language != '{UND}' AND posterior >= {LEAST_POSTERIOR}"
 FOLDS = 5
 MAX_BROADCAST_HOSTS = 50_000  # more hosts than this are joined by a shuffle of scores, not of texts
 _MARKUP = r"(?is)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})"
@@ -50,12 +51,17 @@ def _count(languages: list[str]):
     return run
 
 
+def _with_text(batch):
+    """Rows that carry their document whole have their text in it."""
+    return batch if "text" in batch.schema.names else batch.append_column("text", batch.column("document").field("text"))
+
+
 def _likelihoods(log_text):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in sliced(batches, "text"):
+        for batch in sliced(map(_with_text, batches), "text"):
             gram, owner = byte_grams(*joined(texts(batch.column("text"))), GRAM, BITS)
             each = [TEMPER * np.bincount(owner, row[gram], minlength=batch.num_rows) for row in log_text]
             flat = np.column_stack(each).ravel()
@@ -134,7 +140,8 @@ def identify(rows: DataFrame, model: Model, hosts: DataFrame, keep: list[str]) -
     known = F.array(*map(F.lit, names))
     others = max(1, len(names) - 1)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep, "host", "declared", "address").schema]
-    scored = rows.select(*keep, "host", "declared", "address", "text").mapInArrow(_likelihoods(model.log_text), ", ".join([*fields, "score array<double>, n_grams long"]))
+    text = [] if "document" in keep else ["text"]
+    scored = rows.select(*keep, "host", "declared", "address", *text).mapInArrow(_likelihoods(model.log_text), ", ".join([*fields, "score array<double>, n_grams long"]))
 
     def witness(column: str, sure: float):
         said = F.when(F.array_contains(known, F.col(column)) & (F.col(column) != UND), F.col(column))
@@ -151,11 +158,11 @@ def identify(rows: DataFrame, model: Model, hosts: DataFrame, keep: list[str]) -
     return fused.select(*keep, F.when(none, UND).otherwise(language).alias("language"), F.when(none, 0.0).otherwise(1 / weight).alias("posterior"), "n_grams")
 
 
-def document_rows(docs: DataFrame) -> DataFrame:
+def document_rows(docs: DataFrame, also: list[str] | None = None) -> DataFrame:
     """Documents as evidence rows: the source column is the host, the lang column the label of learning rows."""
-    d = only(docs, "doc_id", "text", "lang", "source")
+    d = only(docs, "doc_id", "text", "lang", "source", *(also or []))
     held = crc_mod(F.col("doc_id"), FOLDS) == 0
-    rows = d.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("string").alias("url"), F.col("source").alias("host"), F.when(~held, F.col("lang")).alias("label"), held.alias("held_out"))
+    rows = d.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("string").alias("url"), F.col("source").alias("host"), F.when(~held, F.col("lang")).alias("label"), held.alias("held_out"), *(also or []))
     return evidence(rows)
 
 
@@ -170,7 +177,16 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     rows = document_rows(docs)
     model = learn(rows.select("text", "label"))
     found = identify(rows, model, rows.select("host", "domain", "label"), ["doc_id", "held_out"])
-    return found.withColumn("accepted", (F.col("language") != UND) & (F.col("posterior") >= LEAST_POSTERIOR))
+    return found.withColumn("accepted", F.expr(ACCEPTED))
+
+
+def accepted_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that identify_documents() accepts, with all their columns."""
+    whole = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    rows = document_rows(whole, ["document"])
+    model = learn(rows.select("text", "label"))
+    found = identify(rows, model, rows.select("host", "domain", "label"), ["document"])
+    return found.filter(ACCEPTED).select("document.*")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
