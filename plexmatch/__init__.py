@@ -1 +1 @@
-"""Part of plexmatch."""
+"""plexmatch: labelled subgraph matching and counting on Spark DataFrames."""

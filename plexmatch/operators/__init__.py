@@ -1 +1 @@
-"""Part of plexmatch."""
+"""Graph operators: matching, counting, candidates, rank, vertex programs."""
