@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, only, sliced, store, table, texts
 from .textkit import byte_grams, joined
@@ -139,9 +140,10 @@ def identify(rows: DataFrame, model: Model, hosts: DataFrame, keep: list[str]) -
         host = F.broadcast(host)
     known = F.array(*map(F.lit, names))
     others = max(1, len(names) - 1)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep, "host", "declared", "address").schema]
+    carried = rows.select(*keep, "host", "declared", "address").schema
+    schema = T.StructType([*carried.fields, T.StructField("score", T.ArrayType(T.DoubleType())), T.StructField("n_grams", T.LongType())])
     text = [] if "document" in keep else ["text"]
-    scored = rows.select(*keep, "host", "declared", "address", *text).mapInArrow(_likelihoods(model.log_text), ", ".join([*fields, "score array<double>, n_grams long"]))
+    scored = rows.select(*keep, "host", "declared", "address", *text).mapInArrow(_likelihoods(model.log_text), schema)
 
     def witness(column: str, sure: float):
         said = F.when(F.array_contains(known, F.col(column)) & (F.col(column) != UND), F.col(column))
