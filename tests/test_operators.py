@@ -119,3 +119,19 @@ def test_streamed_lines(spark, tmp_path):
         assert {(r["src"], r["dst_label"], r["deg"]) for r in spark.table("streamed_degrees").collect()} == {(1, "c", 2), (2, "a", 1), (2, "b", 1), (3, "c", 2), (4, "a", 1), (4, "b", 1)}
     finally:
         q.stop()
+
+
+def test_edge_store(spark, tmp_path):
+    from plexmatch.operators.counter import count
+    from plexmatch.sources.edge_store import open_graph, write_bucketed, write_graph
+
+    g = toy_graph(spark)
+    write_graph(g, str(tmp_path / "g"))
+    back = open_graph(spark, str(tmp_path / "g"))
+    assert back.labels == ["a", "b", "c", "d"]
+    assert count(back, plan(Pattern.of("acbc", "01 12 23 30"))).first()[0] == 4
+    plan_text = back.edges("a", "c")._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan_text
+    table = write_bucketed(g, "c", "b", "edges_c_b", 4)
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, g.edges("c", "b").collect()))
+    spark.sql("drop table edges_c_b")
