@@ -32,7 +32,7 @@ def test_stages(spark, sf, tmp_path):
         groups[blank.sub("", r["text"] or "")].append((-len(r["text"] or ""), r["doc_id"]))
     assert sorted(ids["exact"]) == sorted(min(g)[1] for g in groups.values())
 
-    from test_operators import classes
+    from test_llm_operators import classes
 
     rows = [(r["doc_id"], r["text"]) for r in kept["near"].orderBy("doc_id").collect()]
     assert sorted(ids["near"]) == sorted({rows[c][0] for c in classes(rows)})
