@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, counted: bool = False, id_col: str = "doc_i
     signed = store(d.mapInArrow(_signed(counted), _SIGNED))
     some = signed.filter("elements > 0")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    sets = store(some.groupBy("digest").agg(head.alias("head"), F.count("*").alias("n")).select("digest", "n", F.col("head.row").alias("row")))
+    sets = store(some.groupBy("digest").agg(head.alias("head"), F.count("*").alias("n")).select("digest", "n", "head.*").withColumnRenamed("doc_id", "id"))
     reps = signed.join(sets.select("row"), "row", "left_semi")
 
     spread = reps.select("row", F.posexplode("bands").alias("band", "bucket"))
@@ -278,13 +278,11 @@ def near_duplicates(docs: DataFrame, counted: bool = False, id_col: str = "doc_i
     if more.limit(1).count():
         comps = components(links.union(more))
 
-    owner = sets.join(comps, sets["row"] == comps["node"], "left").select("digest", F.coalesce("comp", "row").alias("comp"), "n")
-    special = owner.join(owner.groupBy("comp").agg(F.sum("n").alias("class_size")).filter("class_size > 1"), "comp").select("digest", "comp", "class_size")
-    placed = signed.select("row", "doc_id", "digest", "elements").join(special, "digest", "left")
-    placed = store(placed)
-    best = placed.filter("comp is not null").groupBy("comp").agg(head.alias("head")).select("comp", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("keep_row"))
-    out = placed.join(best, "comp", "left")
-    alone = F.col("comp").isNull() | (F.col("elements") == 0)
+    owner = sets.join(comps, sets["row"] == comps["node"], "left").select("digest", F.coalesce("comp", "row").alias("comp"), "n", F.struct("none", "id", "row").alias("head"))
+    classes = owner.groupBy("comp").agg(F.sum("n").alias("class_size"), F.min("head").alias("best")).filter("class_size > 1")
+    special = owner.join(classes, "comp").select("digest", "class_size", F.col("best.id").alias("class_id"), F.col("best.row").alias("keep_row"))
+    out = signed.select("row", "doc_id", "digest", "elements").join(special, "digest", "left")
+    alone = F.col("keep_row").isNull() | (F.col("elements") == 0)
     return out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
