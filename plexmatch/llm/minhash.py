@@ -295,3 +295,22 @@ def near_duplicates(docs: DataFrame, counted: bool = False, id_col: str = "doc_i
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, unnest([array_to_string(w[i + 1 : i + 5], ' ') FOR i IN range(greatest(1, len(w) - 4))]) AS g
+  FROM d WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+k AS (SELECT r, r AS m FROM d UNION SELECT k.r, e.y FROM k JOIN e ON e.x = k.m),
+c AS (SELECT r, min(m) AS m, count(*) AS class_size FROM k GROUP BY r)
+SELECT d.doc_id, h.doc_id AS class_id, c.class_size::BIGINT AS class_size, c.m = c.r AS kept, coalesce(n.n, 0)::BIGINT AS elements
+FROM c JOIN d ON d.r = c.r JOIN d h ON h.r = c.m LEFT JOIN n ON n.r = c.r
+"""

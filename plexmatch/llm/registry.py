@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_feistel_shards": sharding.OP1_SQL, "op3_repeated_words": substring_dedup.OP3_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op9_contaminated": decontaminate.OP9_SQL}
+    return {
+        "op1_feistel_shards": sharding.OP1_SQL,
+        "op2_near_duplicates": minhash.OP2_SQL,
+        "op3_repeated_words": substring_dedup.OP3_SQL,
+        "op7_exact_dedup": exact_dedup.OP7_SQL,
+        "op9_contaminated": decontaminate.OP9_SQL,
+    }
