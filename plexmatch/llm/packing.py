@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+from array import array
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, sliced, store, table
+from .common import only, sliced, store, table, texts
 
 LENGTH = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 23  # tokens a group holds on average: some 2,000 sequences, a few thousand pieces
 CACHE = 600_000  # words whose ids a worker keeps
 SEED = 7
-_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _PIECE = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -26,30 +28,52 @@ def default_tokenizer() -> str:
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins characters across white space, so ids are worked out once for each
-    word and remembered; when the memory is full it starts anew.
+    The tokenizer never joins characters across white space, nor a letter and a full stop or comma
+    behind it, so ids are worked out once for each word and remembered. The memory has two halves of
+    `cache` words: when the newer is full it becomes the older, and words still in use move over.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.cache = Tokenizer.from_file(path), {}, cache
+        self.tokenizer, self.known, self.old, self.cache = Tokenizer.from_file(path), {}, {}, cache
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, old = self.known, self.old
+        new, parts = [], []
+        for w in words:
+            if w in old:
+                known[w] = old[w]
+            elif len(w) > 1 and w[-1:] in (b".", b",") and w.decode()[-2].isalpha():
+                parts.append(w)
+            else:
+                new.append(w)
+        for w in {w[:-1] for w in parts} | {w[-1:] for w in parts}:
+            if w in old:
+                known[w] = old[w]
+            elif w not in known and w not in words:
+                new.append(w)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+        for w in parts:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        # ASCII capitals may go before the tokenizer lowers all; its special tokens are spelled as they are
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(self.known) > self.cache:
+            self.known, self.old = {}, self.known
+        self._learn(set().union(*words) - self.known.keys())
+        end, get = array("I", [END_ID]).tobytes(), self.known.__getitem__
+        return [b"".join(map(get, doc)) + end for doc in words]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
 
-        words = []
-        for t in texts:
-            t = t.lower() if t.isascii() and "<|" not in t else t.translate(_SPACE)
-            words.append(t.split() if t.isascii() and not any(c in t for c in "\x1c\x1d\x1e\x1f") else [w for w in t.split(" ") if w])
-        if len(self.known) > self.cache:
-            self.known = {}
-        known = self.known
-        new = list({w for doc in words for w in doc if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
-        end = np.array([END_ID], np.uint32).tobytes()
-        return [b"".join([known[w] for w in doc]) + end for doc in words]
+def _shared_ids(path: str) -> Ids:
+    """The worker process's own Ids, which outlives a task."""
+    kept = sys.__dict__.setdefault("_plexmatch_ids", {})
+    if path not in kept:
+        kept[path] = Ids(path)
+    return kept[path]
 
 
 def _cut(path: str, length: int):
@@ -61,11 +85,11 @@ def _cut(path: str, length: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, row = Ids(path), TaskContext.get().partitionId() << 33
+        ids, row = _shared_ids(path), TaskContext.get().partitionId() << 33
         for batch in sliced(batches, "text", 1 << 21):
             out = [[], [], [], [], [], []]
             docs = batch.column("doc_id").cast(pa.int64()).to_pylist()
-            for doc, b in zip(docs, ids([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            for doc, b in zip(docs, ids(texts(batch.column("text"))), strict=True):
                 n = len(b) // 4
                 for start in range(0, n, length):
                     part = b[4 * start : 4 * (start + length)]
