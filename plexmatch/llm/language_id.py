@@ -19,6 +19,7 @@ from .common import crc_mod, only, sliced, store, table, texts
 from .textkit import byte_grams, joined
 
 GRAM, BITS = 3, 14
+SLICE = 1 << 20  # bytes of text worked on at once: some 40 MB of arrays
 MAX_LANGUAGES = 256  # bounds the broadcast model: 2**BITS floats a language
 SMOOTHING = 0.1
 TEMPER = 0.25  # neighbouring n-grams overlap: their joint weight is lowered
@@ -41,7 +42,7 @@ def _count(languages: list[str]):
 
         total = np.zeros((len(languages), 1 << BITS), np.int64)
         at = {x: i for i, x in enumerate(languages)}
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             gram, owner = byte_grams(*joined(texts(batch.column("text"))), GRAM, BITS)
             of = np.array([at[x] for x in batch.column("label").to_pylist()], np.int64)
             total += np.bincount((of[owner] << BITS) + gram, minlength=total.size).reshape(total.shape)
@@ -62,7 +63,7 @@ def _likelihoods(log_text):
         import numpy as np
         import pyarrow as pa
 
-        for batch in sliced(map(_with_text, batches), "text"):
+        for batch in sliced(map(_with_text, batches), "text", SLICE):
             gram, owner = byte_grams(*joined(texts(batch.column("text"))), GRAM, BITS)
             each = [TEMPER * np.bincount(owner, row[gram], minlength=batch.num_rows) for row in log_text]
             flat = np.column_stack(each).ravel()
