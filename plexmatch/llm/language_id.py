@@ -185,7 +185,7 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that identify_documents() accepts, with all their columns."""
-    whole = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    whole = docs.select("doc_id", "text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
     rows = document_rows(whole, ["document"])
     model = learn(rows.select("text", "label"))
     found = identify(rows, model, rows.select("host", "domain", "label"), ["document"])
