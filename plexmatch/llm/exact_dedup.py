@@ -4,7 +4,9 @@ Every input partition reduces its rows to a run sorted by digest. The runs then
 rounds: a cell is named by digits of the digest and digits of the source lane, and each
 round trades one lane digit for one digest digit, so a cell merges at most RADIX lanes and
 keeps of each digest the best row only. A group of any size therefore enters a cell as at
-most RADIX rows. After the last round a cell holds a range of digests, complete.
+most RADIX rows; in the first round, where input partitions beyond the number of lanes share
+lanes, as that many for each such turn. After the last round a cell holds a range of digests,
+complete.
 """
 
 from __future__ import annotations
@@ -105,7 +107,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         runs = _merged(runs.withColumn("lane", lane.cast("int")).repartition("lane"))
     groups = runs.filter("n > 1").select("digest", "norm_bytes", F.col("row").alias("keep_row"), F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
     # back down: a group's result goes to each lane that holds copies, and rows meet it by lane
-    back = local.select("digest", "norm_bytes", "lane").join(groups, ["digest", "norm_bytes"])
+    # (once each: with more input partitions than lanes, or files cut on reading, runs of one lane lie in several partitions)
+    back = local.select("digest", "norm_bytes", "lane").join(groups, ["digest", "norm_bytes"]).dropDuplicates(["digest", "norm_bytes", "lane"])
     single = F.col("keep_row").isNull()
     return base.join(back, ["digest", "norm_bytes", "lane"], "left").select(
         "doc_id",

@@ -66,6 +66,22 @@ def test_op7_groups(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_op7_more_partitions_than_lanes(spark):
+    for n, limit in ((96, None), (240, "4k")):  # lanes: 64; the small limit reads each file of a run on its own
+        if limit:
+            before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+        try:
+            docs = spark.range(0, 2 * n, 1, n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "copied text").otherwise(F.concat(F.lit("own "), "id")).alias("text"))
+            got = exact_dedup.exact_dedup(docs).collect()
+        finally:
+            if limit:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert sorted(r["doc_id"] for r in got) == list(range(2 * n))
+        assert all((r["keep_id"], r["group_size"]) == ((0, n) if r["doc_id"] % 2 == 0 else (r["doc_id"], 1)) for r in got)
+        assert sum(r["kept"] for r in got) == n + 1
+
+
 def shingles(t):
     w = WORD.findall(t or "")
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
