@@ -29,14 +29,24 @@ class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins characters across white space, nor a letter and a full stop or comma
-    behind it, so ids are worked out once for each word and remembered. The memory has two halves of
-    `cache` words: when the newer is full it becomes the older, and words still in use move over.
+    behind it, so ids are worked out once for each word and remembered. Some letters end in a mark
+    once normalised (U+0130, U+0958); that may be joined, and such words are worked out whole. The
+    memory has two halves of `cache` words: when the newer is full it becomes the older, and words
+    still in use move over.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.old, self.cache = Tokenizer.from_file(path), {}, {}, cache
+        self.letters: dict[str, bool] = {}
+
+    def _letter(self, c: str) -> bool:
+        """Does c, as the tokenizer normalises it, end in a letter?"""
+        if c not in self.letters:
+            normalizer = self.tokenizer.normalizer
+            self.letters[c] = c.isalpha() and (normalizer.normalize_str(c) if normalizer else c)[-1:].isalpha()
+        return self.letters[c]
 
     def _learn(self, words: set[bytes]) -> None:
         known, old = self.known, self.old
@@ -44,7 +54,7 @@ class Ids:
         for w in words:
             if w in old:
                 known[w] = old[w]
-            elif len(w) > 1 and w[-1:] in (b".", b",") and w.decode()[-2].isalpha():
+            elif len(w) > 1 and w[-1:] in (b".", b",") and self._letter(w.decode()[-2]):
                 parts.append(w)
             else:
                 new.append(w)

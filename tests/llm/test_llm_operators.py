@@ -224,6 +224,15 @@ def test_op4_round_trip(docs, none):
     assert packing.packed(none).count() == 0
 
 
+def test_op4_letters_that_end_in_a_mark():
+    from array import array
+
+    ids = packing.Ids(packing.default_tokenizer())
+    words = [w + c + e for w in ("", "a", "\u0915") for c in "\u0130\u0958\u09dc\u0a33\ufb2a\u00e9\u1e9e\uac01e" for e in ".,"]
+    for w, got in zip(words, ids([w.encode() for w in words]), strict=True):
+        assert array("I", got).tolist() == [*ids.tokenizer.encode(w, add_special_tokens=False).ids, packing.END_ID], ascii(w)
+
+
 def test_op4_first_fit_decreasing():
     import random
 
