@@ -34,6 +34,9 @@ _MARKUP = r"(?is)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})"
 _TOP_LEVEL = r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*\.([a-z]{2})(?:[:/?#]|$)"
 _PATH = r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*/([a-z]{2})(?:[/?#]|$)"
 
+#: Scripts, styles, navigation and comments (one that is not closed runs to the end), then tags, then entities.
+_UNSEEN = (r"(?is)<(script|style|nav)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", r"<[^>]*(?:>|\z)", r"&#?\w+;")
+
 
 def _count(languages: list[str]):
     def run(batches):
@@ -192,5 +195,34 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
     return found.filter(ACCEPTED).select("document.*")
 
 
+def visible(html):
+    """The text of a page without markup."""
+    for pattern in _UNSEEN:
+        html = F.regexp_replace(html, pattern, " ")
+    return html
+
+
+def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """page_id, language, posterior, n_grams, accepted: one row per page.
+
+    The model is the one identify_documents() learns from docs. Markup language and address are those
+    of html and url, n-grams those of the visible text. No labelled row has a web host, so hosts that
+    are no source of docs have the corpus prior. A page without visible text is treated as a document
+    without text; a null url says nothing; null ids and repeated rows are kept as they come; an empty
+    table gives no rows; columns other than page_id, url and html are not read.
+    """
+    null = F.lit(None).cast("string")
+    learned = document_rows(docs)
+    model = learn(learned.select("text", "label"))
+    raw = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").alias("text"), null.alias("host"), null.alias("label"))
+    rows = evidence(raw).withColumn("text", F.trim(visible(F.col("text"))))
+    found = identify(rows, model, learned.select("host", "domain", "label"), ["page_id"])
+    return found.withColumn("accepted", F.expr(ACCEPTED))
+
+
+def op6_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))

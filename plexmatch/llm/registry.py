@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_packed_sequences": packing.op4_packed_sequences,
         "op5_personal_data": pii.op5_personal_data,
         "op6_language_id": language_id.op6_language_id,
+        "op6_page_languages": language_id.op6_page_languages,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_quality_scores": quality.op8_quality_scores,
         "op9_contaminated": decontaminate.op9_contaminated,

@@ -324,6 +324,21 @@ def test_op6_accuracy_and_evidence(spark, docs, none):
     assert {k: out[k] for k in (1, 2, 3, 4)} == {1: "de", 2: "de", 3: "de", 4: "en"}
 
 
+def test_op6_pages(spark):
+    from plexmatch.llm import registry
+
+    sf = "/root/testdata/sf0.01"
+    pages, docs = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    tag = {r["page_id"]: r["tag"] for r in pages.select("page_id", F.regexp_extract("html", 'lang="(..)"', 1).alias("tag")).collect()}
+    got = registry.queries()["op6_page_languages"](spark, sf).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(tag)
+    assert sum(r["language"] == tag[r["page_id"]] and r["accepted"] for r in got) > 0.95 * len(tag)
+    # the text says nothing: markup and address decide
+    odd = [(1, None, "<html lang=fr><p>zzzz"), (2, "http://x.example.net/es/7", "<p>zzzz"), (3, "http://x.example.de/7", "<p>zzzz</p><script>the and of"), (None, None, None)]
+    out = {r["page_id"]: r["language"] for r in language_id.identify_pages(spark.createDataFrame(odd, "page_id long, url string, html string"), docs).collect()}
+    assert out == {1: "fr", 2: "es", 3: "de", None: "und"}
+
+
 def test_op8_held_out_accuracy(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in quality.op8_quality_scores(spark, sf).collect()}
