@@ -67,13 +67,14 @@ def _likelihoods(log_text):
         import pyarrow as pa
 
         for batch in sliced(map(_with_text, batches), "text", SLICE):
-            gram, owner = byte_grams(*joined(texts(batch.column("text"))), GRAM, BITS)
+            whole = texts(batch.column("text"))
+            gram, owner = byte_grams(*joined(whole), GRAM, BITS)
             each = [TEMPER * np.bincount(owner, row[gram], minlength=batch.num_rows) for row in log_text]
             flat = np.column_stack(each).ravel()
             offsets = np.arange(0, len(flat) + 1, len(log_text), dtype=np.int32)
             out = batch.drop_columns(["text"])
-            columns = [*out.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.bincount(owner, minlength=batch.num_rows).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*out.schema.names, "score", "n_grams"])
+            columns = [*out.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.bincount(owner, minlength=batch.num_rows).astype(np.int64)), pa.array([len(t) < GRAM and not t.strip() for t in whole], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*out.schema.names, "score", "n_grams", "blank"])
 
     return run
 
@@ -145,7 +146,7 @@ def identify(rows: DataFrame, model: Model, hosts: DataFrame, keep: list[str]) -
     known = F.array(*map(F.lit, names))
     others = max(1, len(names) - 1)
     carried = rows.select(*keep, "host", "declared", "address").schema
-    schema = T.StructType([*carried.fields, T.StructField("score", T.ArrayType(T.DoubleType())), T.StructField("n_grams", T.LongType())])
+    schema = T.StructType([*carried.fields, T.StructField("score", T.ArrayType(T.DoubleType())), T.StructField("n_grams", T.LongType()), T.StructField("blank", T.BooleanType())])
     text = [] if "document" in keep else ["text"]
     scored = rows.select(*keep, "host", "declared", "address", *text).mapInArrow(_likelihoods(model.log_text), schema)
 
@@ -159,9 +160,8 @@ def identify(rows: DataFrame, model: Model, hosts: DataFrame, keep: list[str]) -
     fused = scored.join(host, "host", "left").withColumn("total", F.zip_with("score", prior, lambda a, b: a + b))
     top = F.array_max("total")
     weight = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    none = F.col("n_grams") == 0
     language = F.element_at(known, F.array_position("total", top).cast("int"))
-    return fused.select(*keep, F.when(none, UND).otherwise(language).alias("language"), F.when(none, 0.0).otherwise(1 / weight).alias("posterior"), "n_grams")
+    return fused.select(*keep, F.when(F.col("blank"), UND).otherwise(language).alias("language"), F.when(F.col("blank"), 0.0).otherwise(1 / weight).alias("posterior"), "n_grams")
 
 
 def document_rows(docs: DataFrame, also: list[str] | None = None) -> DataFrame:
@@ -175,10 +175,11 @@ def document_rows(docs: DataFrame, also: list[str] | None = None) -> DataFrame:
 def identify_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, language, posterior, n_grams, accepted: one row per input row.
 
-    Labels (column lang) of the held-out fold are not read. A null, empty or one-letter text has no
-    n-grams: language `und`, posterior 0, not accepted. Null host: the corpus prior. Null ids and
-    repeated rows are kept as they come; an empty table gives no rows; with no label at all every
-    row is `und`; columns other than doc_id, text, lang and source are not read.
+    Labels (column lang) of the held-out fold are not read. A null or empty text, or one or two blanks,
+    is `und` with posterior 0, not accepted; for other texts of one or two bytes, which have no n-grams,
+    the host prior alone decides. Null host: the corpus prior. Null ids and repeated rows are kept as
+    they come; an empty table gives no rows; with no label at all every row is `und`; columns other
+    than doc_id, text, lang and source are not read.
     """
     rows = document_rows(docs)
     model = learn(rows.select("text", "label"))

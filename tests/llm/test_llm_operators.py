@@ -339,6 +339,15 @@ def test_op6_pages(spark):
     assert out == {1: "fr", 2: "es", 3: "de", None: "und"}
 
 
+def test_op6_texts_without_n_grams(spark):
+    train = [(k, f"the and not with you {k}", "en", "s") for k in range(20)]
+    odd = [(100, "A."), (101, "\u00e9"), (102, ""), (103, None), (104, " \n")]
+    docs = spark.createDataFrame([*train, *[(*x, None, "s") for x in odd]], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in language_id.identify_documents(docs).collect() if r["doc_id"] >= 100}
+    assert {k: (r["language"], r["accepted"]) for k, r in got.items()} == {100: ("en", True), 101: ("en", True), 102: ("und", False), 103: ("und", False), 104: ("und", False)}
+    assert got[100]["posterior"] > 0.9 and got[102]["posterior"] == 0
+
+
 def test_op8_held_out_accuracy(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in quality.op8_quality_scores(spark, sf).collect()}
