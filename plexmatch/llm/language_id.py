@@ -20,7 +20,7 @@ from .textkit import byte_grams, joined
 
 GRAM, BITS = 3, 14
 SLICE = 1 << 20  # bytes of text worked on at once: some 40 MB of arrays
-MAX_LANGUAGES = 256  # bounds the broadcast model: 2**BITS floats a language
+MAX_LANGUAGES = 256  # of one block of the model, which bounds what a task holds: 2**BITS floats a language
 SMOOTHING = 0.1
 TEMPER = 0.25  # neighbouring n-grams overlap: their joint weight is lowered
 WITNESS_DECLARED, WITNESS_ADDRESS = 0.9, 0.8  # chance that a witness names the true language
@@ -61,7 +61,10 @@ def _with_text(batch):
     return batch if "text" in batch.schema.names else batch.append_column("text", batch.column("document").field("text"))
 
 
-def _likelihoods(log_text):
+def _likelihoods(log_text, name: str, last: bool, carried: bool):
+    """Adds the scores of one block of languages as column `name`; the text goes with the last block,
+    or at once where rows carry their document (carried)."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -72,9 +75,12 @@ def _likelihoods(log_text):
             each = [TEMPER * np.bincount(owner, row[gram], minlength=batch.num_rows) for row in log_text]
             flat = np.column_stack(each).ravel()
             offsets = np.arange(0, len(flat) + 1, len(log_text), dtype=np.int32)
-            out = batch.drop_columns(["text"])
-            columns = [*out.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.bincount(owner, minlength=batch.num_rows).astype(np.int64)), pa.array([len(t) < GRAM and not t.strip() for t in whole], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*out.schema.names, "score", "n_grams", "blank"])
+            out = batch.drop_columns(["text"]) if last or carried else batch
+            columns, names = [*out.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*out.schema.names, name]
+            if last:
+                columns += [pa.array(np.bincount(owner, minlength=batch.num_rows).astype(np.int64)), pa.array([len(t) < GRAM and not t.strip() for t in whole], pa.bool_())]
+                names += ["n_grams", "blank"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -89,31 +95,32 @@ def evidence(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Text log-likelihoods by language and gram, and the corpus-wide language prior."""
+    """Text log-likelihoods by language and gram, in blocks of languages, and the corpus-wide language prior."""
 
-    def __init__(self, languages, log_text, prior):
-        self.languages, self.log_text, self.prior = languages, log_text, prior
+    def __init__(self, languages, blocks, prior):
+        self.languages, self.blocks, self.prior = languages, blocks, prior
 
 
 def learn(labelled: DataFrame) -> Model:
-    """From columns text and label, all rows. At most MAX_LANGUAGES labels: the commonest, then by name."""
+    """From columns text and label, all rows and all labels, which are counted MAX_LANGUAGES at a time."""
     import numpy as np
 
     known = labelled.filter("label is not null")
-    common = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["label"] for r in common)
-    counts = np.zeros((len(languages) + 1, 1 << BITS))
-    rows = known.filter(F.col("label").isin(languages)).select("text", "label")
-    if languages:
-        for r in rows.mapInArrow(_count(languages), "language int, gram int, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).collect():
-            counts[r["language"], r["gram"]] = r["n"]  # MAX_LANGUAGES * 2**BITS rows at most
-    counts[:-1] += SMOOTHING
-    counts[-1] = 1.0
-    log_text = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-    size = {r["label"]: r["count"] for r in common}
+    size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # one row a language
+    languages = sorted(size)
+    blocks = []
+    for at in range(0, len(languages), MAX_LANGUAGES):
+        block = languages[at : at + MAX_LANGUAGES]
+        counts = np.full((len(block), 1 << BITS), SMOOTHING)
+        rows = known.filter(F.col("label").isin(block)).select("text", "label")
+        for r in rows.mapInArrow(_count(block), "language int, gram int, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).collect():
+            counts[r["language"], r["gram"]] += r["n"]  # MAX_LANGUAGES * 2**BITS rows at most
+        blocks.append(np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
+    flat = np.full((1, 1 << BITS), -BITS * np.log(2)).astype(np.float32)
+    blocks[-1:] = [np.concatenate([*blocks[-1:], flat])]
     total = sum(size.values())
     prior = [(1 - UND_PRIOR) * (size[x] + 1) / (total + len(languages)) for x in languages] + [UND_PRIOR if languages else 1.0]
-    return Model([*languages, UND], log_text, prior)
+    return Model([*languages, UND], blocks, prior)
 
 
 def _level(rows: DataFrame, key: str, languages: list[str], parent: DataFrame | None, corpus: list[float], above: str | None) -> DataFrame:
@@ -145,10 +152,17 @@ def identify(rows: DataFrame, model: Model, hosts: DataFrame, keep: list[str]) -
         host = F.broadcast(host)
     known = F.array(*map(F.lit, names))
     others = max(1, len(names) - 1)
-    carried = rows.select(*keep, "host", "declared", "address").schema
-    schema = T.StructType([*carried.fields, T.StructField("score", T.ArrayType(T.DoubleType())), T.StructField("n_grams", T.LongType()), T.StructField("blank", T.BooleanType())])
     text = [] if "document" in keep else ["text"]
-    scored = rows.select(*keep, "host", "declared", "address", *text).mapInArrow(_likelihoods(model.log_text), schema)
+    scored = rows.select(*keep, "host", "declared", "address", *text)
+    parts = [f"score_{k}" for k in range(len(model.blocks))]
+    for name, block in zip(parts, model.blocks, strict=True):
+        last = name == parts[-1]
+        fields = [f for f in scored.schema.fields if not (last and text and f.name == "text")]
+        fields.append(T.StructField(name, T.ArrayType(T.DoubleType())))
+        if last:
+            fields += [T.StructField("n_grams", T.LongType()), T.StructField("blank", T.BooleanType())]
+        scored = scored.mapInArrow(_likelihoods(block, name, last, not text), T.StructType(fields))
+    scored = scored.withColumn("score", F.concat(*parts))
 
     def witness(column: str, sure: float):
         said = F.when(F.array_contains(known, F.col(column)) & (F.col(column) != UND), F.col(column))

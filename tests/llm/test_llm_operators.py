@@ -348,6 +348,16 @@ def test_op6_texts_without_n_grams(spark):
     assert got[100]["posterior"] > 0.9 and got[102]["posterior"] == 0
 
 
+def test_op6_more_languages_than_a_block_holds(spark, monkeypatch):
+    rows = [(20 * k + i, f"{chr(97 + k) * 3}{chr(98 + k) * 4} {chr(99 + k) * 5} " * 4, f"l{k}", "s") for k in range(7) for i in range(10 + k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    whole = {r["doc_id"]: (r["language"], round(r["posterior"], 6)) for r in language_id.identify_documents(docs).collect()}
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    assert {r["doc_id"]: (r["language"], round(r["posterior"], 6)) for r in language_id.identify_documents(docs).collect()} == whole
+    assert all(whole[i][0] == lang for i, _, lang, _ in rows)
+    assert language_id.accepted_documents(docs).count() == len(rows)
+
+
 def test_op8_held_out_accuracy(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in quality.op8_quality_scores(spark, sf).collect()}
