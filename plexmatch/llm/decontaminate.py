@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import only, store, table
 
-#: Fixed masks; every one begins with two selected words, which a bitmap looks up first.
+#: Fixed masks; every one holds two selected words next to each other, which a bitmap looks up first.
 MASKS = ("11011011", "111010011", "1100110101")
-SHORT_MASK, SHORT_ITEM = "11111", 10  # items of fewer words also get the plain mask
+#: Masks of items shorter than WINDOW: wherever SHARE lets words be substituted, one of these misses them
+#: all (four words in a row, or two pairs about one place; the others are for items of five words).
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+SHORT_MASK, SHORT_ITEM = "11111", 10  # the SQL's mask of short items, which finds fewer of them
 WINDOW, SHARE = 13, 0.8
 MAX_BROADCAST_SEEDS = 500_000
 MAX_BITS = 24
@@ -33,6 +36,11 @@ def _offsets(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
+def _anchor(mask: str) -> int:
+    """Place of the mask's first two selected words next to each other."""
+    return mask.index("11")
+
+
 def _seed(h: Column, i: Column, mask: str) -> Column:
     return F.xxhash64(F.lit(mask), *[F.get(h, i + o) for o in _offsets(mask)])
 
@@ -69,7 +77,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document and benchmark item found in it: doc_id, text_md5, item_id, item_words, window, matched.
 
     matched is the largest number of agreeing words in a window of the item. The whole text is
-    searched. Null and empty texts hold nothing; items of under five words are never found. Rows
+    searched. An item of under WINDOW words is found wherever SHARE of them agree, whichever these are.
+    Null and empty texts hold nothing; items of under five words are never found. Rows
     with the same id and text count as one document; rows with a null id are told apart by text_md5.
     Either table may be empty: no rows. Other columns are not read. Seeds of up to
     MAX_BROADCAST_SEEDS places are broadcast after they have been counted; above that they are
@@ -77,10 +86,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = only(benchmark, item_col, "text").toDF("item_id", "text").select("item_id", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("b"))
     items = store(items.filter(F.size("b") >= 5).dropDuplicates(["item_id", "b"]))
-    by_mask = [
-        items.filter(F.size("b") < SHORT_ITEM if m == SHORT_MASK else F.lit(True)).select("item_id", "b", F.explode(_places(F.col("b"), len(m))).alias("q")).select("item_id", "b", "q", _seed(F.col("b"), F.col("q"), m).alias("seed"))
-        for m in (*MASKS, SHORT_MASK)
-    ]
+    is_short = F.size("b") < WINDOW
+    masks = (*MASKS, *SHORT_MASKS) if items.filter(is_short).limit(1).count() else MASKS
+
+    def seeds_of(m: str) -> DataFrame:
+        placed = items.filter(is_short if m in SHORT_MASKS else F.lit(True)).select("item_id", "b", F.explode(_places(F.col("b"), len(m))).alias("q"))
+        at = F.col("q") + _anchor(m)
+        return placed.select("item_id", "b", "q", _seed(F.col("b"), F.col("q"), m).alias("seed"), F.xxhash64(F.get("b", at), F.get("b", at + 1)).alias("pair"))
+
+    by_mask = [seeds_of(m) for m in masks]
     seeds = by_mask[0]
     for x in by_mask[1:]:
         seeds = seeds.unionByName(x)
@@ -93,23 +107,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     d = only(docs, id_col, text_col).toDF("doc_id", "text")
     h = F.col("h")
     rows = d.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), _fixed(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))).alias("h"))
-    at = _places(h, 5)
+    at = _places(h, min(len(m) - _anchor(m) for m in masks))
     if small:
-        marks = seeds.select("seed", F.xxhash64(F.get("b", F.col("q")), F.get("b", F.col("q") + 1)).alias("pair")).collect()  # MAX_BROADCAST_SEEDS rows at most
+        marks = seeds.select("seed", "pair").collect()  # MAX_BROADCAST_SEEDS rows at most
         pairs, known = _bitmap([r["pair"] for r in marks], bits), _bitmap([r["seed"] for r in marks], bits)
         at = F.filter(at, lambda i: _has(pairs, bits, F.xxhash64(F.get(h, i), F.get(h, i + 1))))
     rows = rows.select("doc_id", "text_md5", "h", _fixed(at).alias("at"))
 
     def hits_of(mask: str) -> Column:
-        fits = F.filter(F.col("at"), lambda i: i + len(mask) <= F.size(h))
+        starts = F.transform("at", lambda i: i - _anchor(mask)) if _anchor(mask) else F.col("at")
+        fits = F.filter(starts, lambda i: (i >= 0) & (i + len(mask) <= F.size(h)) if _anchor(mask) else i + len(mask) <= F.size(h))
         hit = F.transform(fits, lambda i: F.struct(i.alias("p"), _seed(h, i, mask).alias("seed")))
         return F.filter(hit, lambda x: _has(known, bits, x["seed"])) if small else hit
 
-    rows = rows.select("doc_id", "text_md5", "h", _fixed(F.concat(*map(hits_of, (*MASKS, SHORT_MASK)))).alias("hits")).filter(F.size("hits") > 0)
+    rows = rows.select("doc_id", "text_md5", "h", _fixed(F.concat(*map(hits_of, masks))).alias("hits")).filter(F.size("hits") > 0)
     # a hit takes along the words an item aligned with it can reach
     first = lambda x: F.greatest(F.lit(0), x["p"] - longest)
     near = F.transform("hits", lambda x: F.struct(x["seed"].alias("seed"), (x["p"] - first(x)).alias("p"), F.slice(h, first(x) + 1, F.lit(2 * longest + 1)).alias("near")))
     hits = rows.select("doc_id", "text_md5", F.explode(near).alias("x")).select("doc_id", "text_md5", "x.*")
+    seeds = seeds.drop("pair")
     pairs_of = hits.join(F.broadcast(seeds) if small else seeds, "seed")
 
     shift = F.col("p") - F.col("q")

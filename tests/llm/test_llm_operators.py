@@ -392,6 +392,30 @@ def test_op9_substitutions(spark, docs, none):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_op9_short_items_against_brute_force(spark, monkeypatch, broadcast):
+    from itertools import combinations
+
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "MAX_BROADCAST_SEEDS", 0)
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in range(5, 14)}
+    texts = []
+    for n, item in items.items():
+        for k in range(1, n - math.ceil(0.8 * n) + 2):  # up to one substitution too many
+            for gone in combinations(range(n), k):
+                swapped = ["other" if j in gone else w for j, w in enumerate(item)]
+                texts.append(" ".join(["x"] * (len(texts) % 3) + swapped + ["y"] * (len(texts) % 2)))
+        texts += [" ".join(item[1:]), " ".join(item[:-1])]
+
+    def best(words, item):
+        return max(sum(0 <= s + j < len(words) and words[s + j] == w for j, w in enumerate(item)) for s in range(-len(item), len(words)))
+
+    want = {(d, n, best(t.split(), item)) for d, t in enumerate(texts) for n, item in items.items() if best(t.split(), item) >= math.ceil(0.8 * n)}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.contaminated(frame, bench).collect()} == want
+
+
 def test_op9_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST_SEEDS", 0)
     docs = spark.createDataFrame([(1, BASE), (2, "none of this")], "doc_id long, text string")
