@@ -138,16 +138,21 @@ def homomorphisms(spark: SparkSession, sf: str) -> DataFrame:
     return count(g, plan(PATTERNS["cycle4_opop"]), injective=False)
 
 
-def prefix_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct prefixes after each vertex of path c-o-p-s in file order, of the columns still needed."""
+def prefix_counts(spark: SparkSession, sf: str, upto: int = 3) -> DataFrame:
+    """Distinct prefixes after each of the first `upto` vertices of path c-o-p-s in file order, of the columns still needed."""
     g = star_graph(spark, sf)
     out = None
-    for i, (u, rows) in enumerate(prefixes(g, plan(PATTERNS["path_cops"], "file"), 3)):
+    for i, (u, rows) in enumerate(prefixes(g, plan(PATTERNS["path_cops"], "file"), upto)):
         one = rows.agg(F.count("*").alias("prefixes")).select(F.lit(i).alias("place"), F.lit(u).alias("query_vertex"), "prefixes")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def prefix_counts_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """prefix_counts() after all four vertices; the last one's rows are pairs (part, supplier), as nothing else is still needed."""
+    return prefix_counts(spark, sf, 4)
+
+
 def toy_cycle(spark: SparkSession, sf: str) -> DataFrame:
     return match(toy_graph(spark), plan(Pattern.of("acbc", "01 12 23 30")))
 
@@ -285,6 +290,7 @@ QUERIES = {
     "f_bloom_semi_join": bloom_semi_join,
     "c_homomorphisms": homomorphisms,
     "p_prefix_counts": prefix_counts,
+    "p_prefix_counts_whole": prefix_counts_whole,
     "t_toy_cycle": toy_cycle,
     "t_toy_leaf_conflict": toy_leaf_conflict,
     "t_wrong_labels": toy_edges_checked,
@@ -347,6 +353,7 @@ SELECT 0 AS query_vertex, count(*)::BIGINT AS candidates FROM r1 UNION ALL SELEC
     "f_bloom_semi_join": "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'",
     "c_homomorphisms": pattern_sql(_P["cycle4_opop"], "count(*)::BIGINT AS mapping_count", injective=False),
     "p_prefix_counts": f"SELECT 0 AS place, 0 AS query_vertex, count(*)::BIGINT AS prefixes FROM {_vertices('c')} UNION ALL SELECT 1, 1, count(DISTINCT dst) FROM {_slice('c', 'o')} UNION ALL SELECT 2, 2, count(DISTINCT b.dst) FROM {_slice('c', 'o')} a JOIN {_slice('o', 'p')} b ON a.dst = b.src",
+    "p_prefix_counts_whole": f"SELECT 0 AS place, 0 AS query_vertex, count(*)::BIGINT AS prefixes FROM {_vertices('c')} UNION ALL SELECT 1, 1, count(DISTINCT dst) FROM {_slice('c', 'o')} UNION ALL SELECT 2, 2, count(DISTINCT b.dst) FROM {_slice('c', 'o')} a JOIN {_slice('o', 'p')} b ON a.dst = b.src UNION ALL SELECT 3, 3, count(DISTINCT (x.src, x.dst)) FROM {_slice('c', 'o')} a JOIN {_slice('o', 'p')} b ON a.dst = b.src JOIN {_slice('p', 's')} x ON b.dst = x.src",
     "t_toy_cycle": f"WITH {_TOY} SELECT e1.src AS u_0, e1.dst AS u_1, e2.dst AS u_2, e3.dst AS u_3 FROM e e1 JOIN e e2 ON e1.dst = e2.src JOIN e e3 ON e2.dst = e3.src JOIN e e4 ON e3.dst = e4.src AND e4.dst = e1.src JOIN v v0 ON v0.vid = e1.src JOIN v v1 ON v1.vid = e1.dst JOIN v v2 ON v2.vid = e2.dst JOIN v v3 ON v3.vid = e3.dst WHERE v0.label = 'a' AND v1.label = 'c' AND v2.label = 'b' AND v3.label = 'c' AND e1.dst <> e3.dst",
     "t_toy_leaf_conflict": f"WITH {_TOY} SELECT count(*)::BIGINT AS mapping_count FROM e e1 JOIN e e2 ON e1.src = e2.src JOIN e e3 ON e1.src = e3.src JOIN e e4 ON e3.dst = e4.src JOIN v v0 ON v0.vid = e1.src JOIN v v1 ON v1.vid = e1.dst JOIN v v2 ON v2.vid = e2.dst JOIN v v3 ON v3.vid = e3.dst JOIN v v4 ON v4.vid = e4.dst WHERE v0.label = 'c' AND v1.label = 'b' AND v2.label = 'b' AND v3.label = 'a' AND v4.label = 'b' AND e1.dst <> e2.dst AND e1.dst <> e4.dst AND e2.dst <> e4.dst",
     "t_wrong_labels": "SELECT 1::BIGINT AS src, 3::BIGINT AS dst, 'c' AS dst_label, 'b' AS label",
