@@ -217,6 +217,17 @@ def least_reachable(spark: SparkSession, sf: str) -> DataFrame:
     return vertex_program.least_reachable(vertices, edges, 3)
 
 
+def least_reachable_whole(spark: SparkSession, sf: str, supersteps: int = 3) -> DataFrame:
+    """least_reachable() over all vertices and edges."""
+    g = star_graph(spark, sf)
+    vertices = edges = None
+    for a in g.labels:
+        vertices = g.vertices(a) if vertices is None else vertices.unionByName(g.vertices(a))
+    for a, b in g.pairs:
+        edges = g.edges(a, b) if edges is None else edges.unionByName(g.edges(a, b))
+    return vertex_program.least_reachable(vertices, edges, supersteps)
+
+
 def bloom_semi_join(spark: SparkSession, sf: str) -> DataFrame:
     """Edges o-p that a filter over edges of returned lines lets through, then checked exactly."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
@@ -305,6 +316,7 @@ QUERIES = {
     "a_user_aggregator": user_aggregator,
     "p_order_comparison": order_comparison,
     "v_least_reachable": least_reachable,
+    "v_least_reachable_whole": least_reachable_whole,
     "x_scalar_functions": scalar_functions,
 }
 
@@ -372,5 +384,10 @@ WITH v AS (SELECT vid FROM {_vertices('r')} UNION ALL SELECT vid FROM {_vertices
 e AS (SELECT src, dst FROM ({_ALL_EDGES}) WHERE src_label IN ('r', 'n', 's') AND dst_label IN ('r', 'n', 's')),
 a AS (SELECT vid, least(vid, coalesce((SELECT min(src) FROM e WHERE dst = vid), vid)) AS least FROM v)
 SELECT vid, least(least, coalesce((SELECT min(b.least) FROM e JOIN a b ON e.src = b.vid WHERE e.dst = a.vid), least)) AS least FROM a""",
+    "v_least_reachable_whole": f"""
+WITH v AS (SELECT vid FROM ({_ALL_VERTICES})),
+e AS (SELECT src, dst FROM ({_ALL_EDGES}) UNION ALL SELECT vid, vid FROM v),
+a AS (SELECT e.dst AS vid, min(e.src) AS least FROM e JOIN v ON v.vid = e.dst GROUP BY 1)
+SELECT e.dst AS vid, min(a.least) AS least FROM e JOIN a ON e.src = a.vid JOIN v ON v.vid = e.dst GROUP BY 1""",
     "x_scalar_functions": "SELECT c_custkey, CASE WHEN c_nationkey < 3 THEN 0 ELSE c_nationkey::BIGINT * (c_nationkey - 1) * (c_nationkey - 2) END AS chosen, c_nationkey <> c_custkey % 25 AS different, c_nationkey NOT IN (1, 2, 3) AS missing, (c_custkey % 7)::INT AS worker, c_custkey AS id, substr(c_mktsegment, 1, 1) AS initial, (c_nationkey < length(c_name) OR (c_nationkey = length(c_name) AND c_custkey < 100)) AS earlier, ((c_nationkey > 10)::INT + 2 * (c_custkey % 2 = 0)::INT + 4 * (c_acctbal < 0)::INT)::BIGINT AS mask FROM customer",
 }

@@ -26,6 +26,19 @@ def test_all(spark, sf):
         assert rows(map(tuple, got.select(columns).collect())) == rows(want), name
 
 
+def test_whole_graph(spark, sf):
+    from plexmatch.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    size = {t: con.execute(f"select count(*) from {t}").fetchone()[0] for t in TABLES}
+    got = QUERIES["v_least_reachable_whole"](spark, sf).select("vid", "least").collect()
+    assert len(got) == sum(size[t] for t in ("region", "nation", "customer", "supplier", "orders", "part"))
+    assert rows(map(tuple, got)) == rows(con.execute(f"select vid, least from ({ORACLES['v_least_reachable_whole']})").fetchall())
+    assert [r["place"] for r in QUERIES["p_prefix_counts_whole"](spark, sf).orderBy("place").collect()] == [0, 1, 2, 3]
+
+
 def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() > 0
