@@ -20,6 +20,7 @@ from ..plans.pattern import Pattern
 from ..plans.planner import Plan, plan
 from .graph import Graph
 from .matcher import match, needed, place, root
+from .twins import Twins, plan_around, twins_of, wedges
 
 
 @dataclass(frozen=True)
@@ -75,6 +76,36 @@ def _weigh(rows: DataFrame, graph: Graph, core: Pattern, g: LeafGroup, kind: str
     return rows.withColumn("cnt", (F.col("cnt") * ways).cast(kind)).filter("cnt > 0").drop("_deg", *near)
 
 
+def _foldable_twins(graph: Graph, small: Pattern, groups: list[LeafGroup], injective: bool) -> Twins | None:
+    """Twins of the core that can be counted from the number of wedges of each pair of corners alone.
+
+    As for leaves: where mappings are injective, no folded leaf may have their label, and every other
+    core vertex of that label has to be a neighbour of both corners.
+    """
+    twins = twins_of(graph, small, {g.parent for g in groups})
+    if twins and injective:
+        others = [x for x in small.labels if small.labels[x] == twins.label and x not in twins.members and x not in twins.corners]
+        if any(g.label == twins.label for g in groups) or any(not small.has_edge(x, c) for x in others for c in twins.corners):
+            return None
+    return twins
+
+
+def _corner_pairs(graph: Graph, small: Pattern, twins: Twins, kind: str, injective: bool) -> DataFrame:
+    """The corners' columns and cnt, the number of ways to choose the twins."""
+    a, b = (small.column(u) for u in twins.corners)
+    rows = wedges(graph, small, twins, injective).groupBy(F.col("_a").alias(a), F.col("_b").alias(b)).agg(F.count("*").alias("_deg"))
+    free, size = F.col("_deg"), len(twins.members)
+    if injective:
+        corners = set(twins.corners)
+        free = free - sum(x not in twins.members and corners <= set(small.neighbours[x]) and small.labels[x] == twins.label for x in small.labels)
+        ways = falling_factorial(free, size, kind)
+    else:
+        ways = F.lit(1).cast(kind)
+        for _ in range(size):
+            ways = (ways * free.cast(kind)).cast(kind)
+    return rows.select(a, b, ways.alias("cnt")).filter("cnt > 0")
+
+
 def count(graph: Graph, the_plan: Plan, injective: bool = True, folding: bool = True, merging: bool = True, kind: str = "bigint", order: str = "degree") -> DataFrame:
     """One row, mapping_count. kind: bigint, or decimal(38,0) where counts may pass 2**63."""
     pattern = the_plan.pattern
@@ -87,9 +118,17 @@ def count(graph: Graph, the_plan: Plan, injective: bool = True, folding: bool =
     if not folding and not merging:
         return match(graph, the_plan, injective).agg(F.count("*").cast(kind).alias("mapping_count"))
 
-    pending, rows = list(groups), root(graph, inner).withColumn("cnt", F.lit(1).cast(kind))
+    twins = _foldable_twins(graph, small, groups, injective) if folding and merging else None
+    if twins:
+        inner, first = plan_around(small, twins), 2
+        rows = _corner_pairs(graph, small, twins, kind, injective)
+    else:
+        first, rows = 1, root(graph, inner).withColumn("cnt", F.lit(1).cast(kind))
+    pending = list(groups)
     for i, u in enumerate(inner.order):
-        if i:
+        if i + 1 < first:
+            continue  # a corner, there from the start
+        if i >= first:
             rows = place(rows, graph, inner, u, injective)
         here = set(inner.order[: i + 1])
         for g in [g for g in pending if g.parent in here and (not injective or set(_strangers(small, g)) <= here)]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.planner import Plan
 from .graph import Graph
+from .twins import listed, plan_around, twins_of
 
 
 def place(partial: DataFrame, graph: Graph, the_plan: Plan, u: int, injective: bool = True, candidates: dict[int, DataFrame] | None = None, keep: set[int] | None = None) -> DataFrame:
@@ -37,12 +38,22 @@ def root(graph: Graph, the_plan: Plan, candidates: dict[int, DataFrame] | None =
     return source.select(F.col("vid").alias(the_plan.pattern.column(u)))
 
 
-def match(graph: Graph, the_plan: Plan, injective: bool = True, candidates: dict[int, DataFrame] | None = None) -> DataFrame:
-    """Every mapping as a row, columns u_<id> in the pattern's order; injective=False: homomorphisms."""
-    out = root(graph, the_plan, candidates)
-    for u in the_plan.order[1:]:
+def match(graph: Graph, the_plan: Plan, injective: bool = True, candidates: dict[int, DataFrame] | None = None, meet: bool = True) -> DataFrame:
+    """Every mapping as a row, columns u_<id> in the pattern's order; injective=False: homomorphisms.
+
+    meet: list twins (see there) by joining wedges on their corners, whatever the plan's order; the
+    other vertices are placed next to them. Not for homomorphisms, of which every wedge closes.
+    """
+    pattern = the_plan.pattern
+    twins = twins_of(graph, pattern) if meet and injective and not candidates else None
+    if twins:
+        out, the_plan = listed(graph, pattern, twins), plan_around(pattern, twins, twins.members)
+        first = 2 + len(twins.members)
+    else:
+        out, first = root(graph, the_plan, candidates), 1
+    for u in the_plan.order[first:]:
         out = place(out, graph, the_plan, u, injective, candidates)
-    return out.select(*[the_plan.pattern.column(u) for u in the_plan.pattern.labels])
+    return out.select(*[pattern.column(u) for u in pattern.labels])
 
 
 def prefixes(graph: Graph, the_plan: Plan, upto: int) -> list[tuple[int, DataFrame]]:

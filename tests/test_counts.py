@@ -95,3 +95,27 @@ def test_wide_counts(spark):
     for i in range(7):
         want *= 3000 - i
     assert int(n) == want > 2**63
+
+
+@pytest.mark.parametrize(
+    ("code", "pairs"),
+    [
+        ("abab", "01 12 23 30"),  # two pairs of twins to choose from
+        ("aaaa", "01 12 23 30"),  # corners and twins of one label
+        ("abbba", "01 02 03 41 42 43"),  # three twins
+        ("abab", "01 12 23 30 02"),  # corners joined by an edge: no twins there
+        ("ababb", "01 12 23 30 04"),  # a leaf of the twins' label at a corner
+        ("ababa", "01 12 23 30 14"),  # a leaf at a twin
+        ("abababa", "01 12 23 30 04 45 56"),  # a path that leaves a corner, with the twins' label on it
+        ("aabba", "02 12 03 13 24"),
+    ],
+)
+def test_twins(spark, code, pairs):
+    rng = random.Random(code + pairs)
+    labels = {v: rng.choice("ab") for v in range(9)}
+    edges = {(a, b) for a in range(9) for b in range(a) if rng.random() < 0.5}
+    g, p = graph_of(spark, labels, edges), Pattern.of(code, pairs)
+    want = sorted(mappings(labels, edges, p))
+    assert sorted(map(tuple, match(g, plan(p)).collect())) == want
+    assert count(g, plan(p)).first()[0] == len(want)
+    assert count(g, plan(p), injective=False).first()[0] == len(mappings(labels, edges, p, False))
