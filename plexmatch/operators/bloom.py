@@ -1,4 +1,4 @@
-"""A Bloom filter over pairs, kept as a table of bit words and built by one aggregation."""
+"""A Bloom filter over pairs: built by one aggregation, tested by column expressions."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_HASHES, MOST_HASHES = 3, 128
+BROADCAST_BITS = 1 << 26  # a filter of up to 8 MB goes to every task; a larger one is joined
 
 
 @dataclass(frozen=True)
@@ -24,24 +25,45 @@ class Shape:
 
 
 class BloomFilter:
-    def __init__(self, words: DataFrame, shape: Shape, seed: int):
-        self.words, self.shape, self.seed = words, shape, seed
+    """words: (word, bits), the filter's 64-bit words that have a bit set."""
+
+    def __init__(self, words: DataFrame, shape: Shape, seed: int, array: Column | None):
+        self.words, self.shape, self.seed, self._array = words, shape, seed, array
 
     @staticmethod
-    def _places(shape: Shape, seed: int, columns: list[Column]) -> Column:
-        return F.array_distinct(F.array(*[F.pmod(F.xxhash64(F.lit(seed + i), *columns), F.lit(shape.bits)) for i in range(shape.hashes)]))
+    def _places(shape: Shape, seed: int, columns: list[Column]) -> list[Column]:
+        """Places by double hashing: h1 + i h2."""
+        h1, h2 = F.xxhash64(F.lit(seed), *columns), F.xxhash64(F.lit(seed + 1), *columns)
+        step = lambda i: F.pmod(F.pmod(h1, F.lit(shape.bits)) + i * F.pmod(h2, F.lit(shape.bits)), F.lit(shape.bits))
+        return [step(i) for i in range(shape.hashes)]
 
     @classmethod
     def build(cls, df: DataFrame, columns: list[str], n: int, fpp: float = 0.01, seed: int = 0) -> BloomFilter:
+        """A filter for about n different rows, with fpp false positives among others."""
         shape = Shape.of(n, fpp)
-        place = df.select(F.explode(cls._places(shape, seed, [F.col(c) for c in columns])).alias("p"))
-        words = place.groupBy(F.floor(F.col("p") / 63).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 63 as int)))").alias("bits"))
-        return cls(words, shape, seed)
+        place = df.select(F.explode(F.array(*cls._places(shape, seed, [F.col(c) for c in columns]))).alias("p"))
+        words = place.groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
+        return cls(words, shape, seed, cls._literal(words, shape) if shape.bits <= BROADCAST_BITS else None)
+
+    @staticmethod
+    def _literal(words: DataFrame, shape: Shape) -> Column:
+        held = [0] * (-(-shape.bits // 64))
+        for r in words.collect():  # BROADCAST_BITS / 64 rows at most
+            held[r["word"]] = r["bits"]
+        return F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")
 
     def may_contain(self, df: DataFrame, columns: list[str]) -> DataFrame:
         """Rows of df whose columns may be in the filter; no row that is in it is lost."""
+        places = self._places(self.shape, self.seed, [F.col(c) for c in columns])
+        if self._array is not None:
+            has = [F.call_function("shiftrightunsigned", F.get(self._array, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1 for p in places]
+            found = has[0]
+            for x in has[1:]:
+                found = found & x
+            return df.filter(found)
         tagged = df.withColumn("_id", F.monotonically_increasing_id())
-        asked = tagged.select("_id", F.explode(self._places(self.shape, self.seed, [F.col(c) for c in columns])).alias("p"))
-        hit = asked.withColumn("word", F.floor(F.col("p") / 63)).join(self.words, "word", "left")
-        ok = hit.groupBy("_id").agg(F.bool_and(F.coalesce(F.expr("(shiftright(bits, cast(p % 63 as int)) & 1L) = 1L"), F.lit(False))).alias("ok")).filter("ok")
+        asked = tagged.select("_id", F.explode(F.array(*places)).alias("p"))
+        hit = asked.withColumn("word", F.shiftright("p", 6)).join(self.words, "word", "left")
+        one = F.coalesce(F.expr("(shiftrightunsigned(bits, cast(p & 63 as int)) & 1L) = 1L"), F.lit(False))
+        ok = hit.groupBy("_id").agg(F.bool_and(one).alias("ok")).filter("ok")
         return tagged.join(ok.select("_id"), "_id", "left_semi").drop("_id")

@@ -12,61 +12,93 @@ class Graph:
     """vertices(vid, label) and edges in slices (src, dst), one for each ordered pair of labels.
 
     A slice is made when a plan asks for it, so a query reads the label pairs it needs and no others.
+    Whole-graph operators read all edges in one pass.
     """
 
-    def __init__(self, vertices: Callable[[str], DataFrame], slices: Callable[[str, str], DataFrame], labels: list[str], pairs: list[tuple[str, str]] | None = None):
-        self._vertices, self._slices, self.labels = vertices, slices, labels
-        self.pairs = pairs if pairs is not None else [(a, b) for a in labels for b in labels]
-        self._kept: dict[tuple[str, str], DataFrame] = {}
+    def __init__(
+        self,
+        vertices: Callable[[str], DataFrame],
+        slices: Callable[[str, str], DataFrame],
+        all_vertices: Callable[[], DataFrame],
+        all_edges: Callable[[], DataFrame],
+        labels: list[str] | None = None,
+        pairs: list[tuple[str, str]] | None = None,
+        whole: DataFrame | None = None,
+    ):
+        """pairs: the label pairs that have a slice of their own, if they are known.
+
+        whole: the table all slices are cut from, which persist() keeps in memory; without it, it
+        keeps each slice that has been asked for.
+        """
+        self._vertices, self._slices, self._all_vertices, self._all_edges = vertices, slices, all_vertices, all_edges
+        self._labels, self.pairs, self._whole, self._persists, self._kept = labels, pairs, whole, False, {}
 
     @classmethod
     def from_edges(cls, vertices: DataFrame, edges: DataFrame, labels: list[str] | None = None) -> Graph:
         """From vertices(vid, label) and edges(src, dst, src_label, dst_label) as prepare() leaves them."""
-        if labels is None:
-            labels = sorted(r["label"] for r in vertices.select("label").distinct().collect())
         return cls(
             lambda a: vertices.filter(F.col("label") == a).select("vid"),
             lambda a, b: edges.filter((F.col("src_label") == a) & (F.col("dst_label") == b)).select("src", "dst"),
+            lambda: vertices.select("vid", "label"),
+            lambda: edges.select("src", "dst", "src_label", "dst_label"),
             labels,
+            whole=edges,
         )
 
+    @property
+    def labels(self) -> list[str]:
+        """All labels in order; looked up in the vertices if they were not given. No operator needs them."""
+        if self._labels is None:
+            self._labels = sorted(r["label"] for r in self.all_vertices().select("label").distinct().collect())
+        return self._labels
+
     def vertices(self, label: str) -> DataFrame:
         """vid of every vertex with the label."""
         return self._vertices(label)
 
     def edges(self, a: str, b: str) -> DataFrame:
         """(src, dst) of all edges from label a to label b, each once, without self-loops."""
-        return self._kept.get((a, b), None) or self._slices(a, b)
+        if not self._persists or self._whole is not None:
+            return self._slices(a, b)
+        if (a, b) not in self._kept:
+            self._kept[(a, b)] = self._slices(a, b).persist()
+        return self._kept[(a, b)]
 
     def persist(self) -> Graph:
-        """Keep slices in memory across queries once they have been worked out."""
-        for a, b in self.pairs:
-            self._kept.setdefault((a, b), self._slices(a, b).persist())
+        """Keep edges in memory across queries: all of them in one table where there is one, else the slices in use."""
+        self._persists = True
+        if self._whole is not None:
+            self._whole.persist()
         return self
 
     def unpersist(self) -> None:
-        for df in self._kept.values():
+        for df in (*self._kept.values(), *([self._whole] if self._whole is not None else [])):
             df.unpersist()
-        self._kept = {}
+        self._persists, self._kept = False, {}
 
     def all_edges(self) -> DataFrame:
-        out = None
-        for a, b in self.pairs:
-            one = self.edges(a, b).select("src", "dst", F.lit(a).alias("src_label"), F.lit(b).alias("dst_label"))
-            out = one if out is None else out.unionByName(one)
-        return out
+        """(src, dst, src_label, dst_label), every edge in both directions."""
+        return self._all_edges()
 
     def all_vertices(self) -> DataFrame:
-        out = None
-        for a in self.labels:
-            one = self.vertices(a).select("vid", F.lit(a).alias("label"))
-            out = one if out is None else out.unionByName(one)
-        return out
+        """(vid, label)"""
+        return self._all_vertices()
 
     def degrees(self, a: str, b: str) -> DataFrame:
         """(src, deg): neighbours of label b of each vertex of label a that has one."""
         return self.edges(a, b).groupBy("src").agg(F.count("*").alias("deg"))
 
+    def total_degrees(self, label: str) -> DataFrame:
+        """(src, deg): all neighbours of each vertex of the label that has one."""
+        if self.pairs is not None:
+            out = None
+            for a, b in self.pairs:
+                if a == label:
+                    out = self.degrees(a, b) if out is None else out.unionByName(self.degrees(a, b))
+            if out is not None:
+                return out.groupBy("src").agg(F.sum("deg").alias("deg"))
+        return self.all_edges().filter(F.col("src_label") == label).groupBy("src").agg(F.count("*").alias("deg"))
+
     def degree_table(self) -> DataFrame:
         """(vid, label, nbr_label, deg) over all label pairs."""
         return self.all_edges().groupBy(F.col("src").alias("vid"), F.col("src_label").alias("label"), F.col("dst_label").alias("nbr_label")).agg(F.count("*").alias("deg"))

@@ -14,7 +14,9 @@ def global_rank(df: DataFrame, keys: list[str], out: str = "rank", partitions: i
     """df in the order of keys with a column of ranks from 0, without a sort in one task.
 
     Rows are dealt to ranges by sampled splitters and sorted there; a range's first rank is the
-    number of rows in the ranges before it. Equal keys are ranked in any order.
+    number of rows in the ranges before it. Equal keys are ranked in the order in which they happened to
+    be written, once: the sorted rows go to the shared folder before ranks are read off them, so a
+    task that is run again gives the same ranks. A run of its own may rank them otherwise.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))

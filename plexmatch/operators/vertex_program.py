@@ -23,21 +23,35 @@ class Step:
     added: DataFrame | None = None
 
 
-Compute = Callable[[DataFrame, int], Step]
-
-
-def run(vertices: DataFrame, compute: Compute, supersteps: int, combiner: Callable[[Column], Column] | None = None, stop_when_quiet: bool = False) -> DataFrame:
+Compute = Callable[..., Step]
+#: What a control function may ask for: stop after this superstep, or wake all vertices for the next.
+STOP, WAKE_ALL = "stop", "wake all"
+
+
+def run(
+    vertices: DataFrame,
+    compute: Compute,
+    supersteps: int,
+    combiner: Callable[[Column], Column] | None = None,
+    stop_when_quiet: bool = False,
+    aggregators: dict[str, Column] | None = None,
+    control: Callable[[int, dict], str | None] | None = None,
+) -> DataFrame:
     """Run `supersteps` rounds over vertices(vid, state...); returns their last state.
 
     In every round compute() gets the active vertices with a column `inbox`: null in the first round
     and for vertices without mail, else the combined payload (without combiner an array). All vertices
     are active at first, later those that have not voted to halt and those with mail. Messages to
-    unknown vertices are dropped. A repeated vid keeps its old state.
+    unknown vertices are dropped. An added vid that is there already keeps its old state.
+
+    aggregators are worked out over all vertices after every superstep; the next one's compute() gets
+    them as a third argument (an empty dict at first), and control(superstep, aggregates) may answer
+    STOP or WAKE_ALL.
     """
     state = vertices if "active" in vertices.columns else vertices.withColumn("active", F.lit(True))
     state, mail = cut(state.withColumn("active", F.lit(True))), None
     gather = combiner or (lambda c: F.sort_array(F.collect_list(c)))
-    columns = state.columns
+    columns, totals = state.columns, {}
     for step in range(1, supersteps + 1):
         if mail is None:
             ready = state.withColumn("inbox", F.lit(None)) if step == 1 else state.limit(0).withColumn("inbox", F.lit(None))
@@ -47,13 +61,20 @@ def run(vertices: DataFrame, compute: Compute, supersteps: int, combiner: Callab
             got = state.join(box, "vid", "left")
             awake = F.col("active") | F.col("inbox").isNotNull()
             ready, asleep = got.filter(awake).withColumn("active", F.lit(True)), got.filter(~awake).select(*columns)
-        done = compute(ready, step)
+        done = compute(ready, step, totals) if aggregators is not None else compute(ready, step)
         state = done.vertices.select(*columns).unionByName(asleep)
         if done.added is not None:
             new = done.added.withColumn("active", F.lit(True)).select(*columns).dropDuplicates(["vid"])
             state = state.unionByName(new.join(state.select("vid"), "vid", "left_anti"))
         state = cut(state)
         mail = cut(done.messages.select("dst", "payload")) if done.messages is not None else None
+        if aggregators is not None:
+            totals = state.agg(*[c.alias(k) for k, c in aggregators.items()]).first().asDict()
+        asked = control(step, totals) if control else None
+        if asked == STOP:
+            break
+        if asked == WAKE_ALL:
+            state, mail = state.withColumn("active", F.lit(True)), mail if mail is not None else state.select(F.col("vid").alias("dst"), F.lit(None).alias("payload")).limit(0)
         if stop_when_quiet and (mail is None or not mail.limit(1).count()) and not state.filter("active").limit(1).count():
             break
     return state

@@ -1,4 +1,4 @@
-"""Matching orders, the depth-first sketch tree, and what can be told from it."""
+"""Matching orders, the depth-first pattern tree, and what can be told from it."""
 
 from __future__ import annotations
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.materialise import cut
 from ..plans.pattern import Pattern
 
 
@@ -39,6 +40,27 @@ def upload(spark: SparkSession, local: str, target: str, overwrite: bool = False
     p.getFileSystem(conf).copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(local), p)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of text files, lines numbered from 0 in each file, however the files are split.
+
+    Lines are written to the shared folder once, with the split they come from; a split's first
+    number is the number of lines in the file's splits before it.
+    """
+    lines = spark.read.text(path)
+    at = lines.metadataColumn("_metadata")
+    read = cut(lines.select(at["file_path"].alias("file"), at["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("id"), "value"))
+    splits = read.groupBy("file", "split").agg(F.min("id").alias("first"), F.count("*").alias("lines"))  # a row a split
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "split", "first", before.alias("before"))
+    return read.join(starts, ["file", "split"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "value")
+
+
 def fastq_sequences(lines: DataFrame) -> DataFrame:
-    """Of FASTQ text (columns line_no from 0, value) the sequences: the second line of every four."""
-    return lines.filter(F.col("line_no") % 4 == 1).select("line_no", "value")
+    """Of FASTQ text (columns line_no from 0, value, any others) the sequences: the second line of every four."""
+    return lines.filter(F.col("line_no") % 4 == 1)
+
+
+def put_fastq(spark: SparkSession, source: str, target: str, overwrite: bool = False, lines_per_file: int = 0) -> None:
+    """Write the sequences of FASTQ files, in the order of files and lines, as text part files."""
+    found = fastq_sequences(numbered_lines(spark, source)).orderBy("file", "line_no")
+    write_lines(found, target, overwrite, lines_per_file)

@@ -51,5 +51,20 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         rows = read(name).filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(vid(src, a).alias("src"), vid(dst, b).alias("dst"))
         return rows if unique else rows.distinct()
 
-    pairs = [*EDGES, *[(b, a) for a, b in EDGES]]
-    return Graph(vertices, slices, list(VERTICES), pairs)
+    def all_vertices() -> DataFrame:
+        out = None
+        for label in VERTICES:
+            one = vertices(label).select("vid", F.lit(label).alias("label"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def all_edges() -> DataFrame:
+        """Each table's pairs made distinct once, then turned both ways."""
+        out = None
+        for a, b in EDGES:
+            ways = [F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.lit(p).alias("src_label"), F.lit(q).alias("dst_label")) for x, y, p, q in (("src", "dst", a, b), ("dst", "src", b, a))]
+            one = slices(a, b).select(F.inline(F.array(*ways)))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    return Graph(vertices, slices, all_vertices, all_edges, list(VERTICES), [*EDGES, *[(b, a) for a, b in EDGES]])
