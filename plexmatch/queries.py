@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import file_queries
 from .functions import scalar
 from .operators import aggregates, candidates, vertex_program
 from .operators.bloom import BloomFilter
 from .operators.counter import conflict_count, count, tree_count
 from .operators.graph import Graph, prepare
 from .operators.matcher import match, prefixes
+from .operators.materialise import cut
 from .operators.rank import global_rank, ranked_lines
 from .plans.pattern import Pattern
 from .plans.planner import ORDERS, plan
@@ -220,18 +222,13 @@ def least_reachable(spark: SparkSession, sf: str) -> DataFrame:
 def least_reachable_whole(spark: SparkSession, sf: str, supersteps: int = 3) -> DataFrame:
     """least_reachable() over all vertices and edges."""
     g = star_graph(spark, sf)
-    vertices = edges = None
-    for a in g.labels:
-        vertices = g.vertices(a) if vertices is None else vertices.unionByName(g.vertices(a))
-    for a, b in g.pairs:
-        edges = g.edges(a, b) if edges is None else edges.unionByName(g.edges(a, b))
-    return vertex_program.least_reachable(vertices, edges, supersteps)
+    return vertex_program.least_reachable(g.all_vertices().select("vid"), g.all_edges().select("src", "dst"), supersteps)
 
 
 def bloom_semi_join(spark: SparkSession, sf: str) -> DataFrame:
     """Edges o-p that a filter over edges of returned lines lets through, then checked exactly."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
-    back = lines.filter("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct()
+    back = cut(lines.filter("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct())
     sieve = BloomFilter.build(back, ["l_orderkey", "l_partkey"], back.count(), 0.01)
     return sieve.may_contain(lines.select("l_orderkey", "l_partkey").distinct(), ["l_orderkey", "l_partkey"]).join(back, ["l_orderkey", "l_partkey"], "left_semi")
 
@@ -391,3 +388,6 @@ a AS (SELECT e.dst AS vid, min(e.src) AS least FROM e JOIN v ON v.vid = e.dst GR
 SELECT e.dst AS vid, min(a.least) AS least FROM e JOIN a ON e.src = a.vid JOIN v ON v.vid = e.dst GROUP BY 1""",
     "x_scalar_functions": "SELECT c_custkey, CASE WHEN c_nationkey < 3 THEN 0 ELSE c_nationkey::BIGINT * (c_nationkey - 1) * (c_nationkey - 2) END AS chosen, c_nationkey <> c_custkey % 25 AS different, c_nationkey NOT IN (1, 2, 3) AS missing, (c_custkey % 7)::INT AS worker, c_custkey AS id, substr(c_mktsegment, 1, 1) AS initial, (c_nationkey < length(c_name) OR (c_nationkey = length(c_name) AND c_custkey < 100)) AS earlier, ((c_nationkey > 10)::INT + 2 * (c_custkey % 2 = 0)::INT + 4 * (c_acctbal < 0)::INT)::BIGINT AS mask FROM customer",
 }
+
+QUERIES |= file_queries.QUERIES
+ORACLES |= file_queries.oracles(pattern_sql, _slice, ORACLES["g_pair_histogram"])
