@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexmatch.llm.common import store, table, without
+from plexmatch.llm.common import store, table
 from plexmatch.llm.decontaminate import decontaminated
-from plexmatch.llm.exact_dedup import exact_dedup
+from plexmatch.llm.exact_dedup import exact_deduplicated
 from plexmatch.llm.language_id import accepted_documents
-from plexmatch.llm.minhash import near_duplicates
+from plexmatch.llm.minhash import near_deduplicated
 from plexmatch.llm.packing import packed
 
 
@@ -23,12 +23,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the longest original, then the smallest doc_id."""
-    return without(docs, exact_dedup(docs).filter("not kept"))
+    return exact_deduplicated(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: the smallest doc_id."""
-    return without(docs, near_duplicates(docs).filter("not kept"))
+    return near_deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

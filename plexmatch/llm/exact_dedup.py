@@ -16,14 +16,16 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, shuffle_width, store, table, texts
+from .common import from_files, only, place, shuffle_width, sliced, store, table, texts, trimmed, without
 
 RADIX = 8
 BLANKS = b" \t\n\x0b\x0c\r"
 _RUN = "digest binary, norm_bytes long, cp long, row long, doc_id long, n long, lane int"
 
 
-def _digests(lanes: int):
+def _digests(lanes: int, carried: bool):
+    """With `carried`, a row's column place goes along."""
+
     def run(batches):
         import hashlib
 
@@ -33,7 +35,7 @@ def _digests(lanes: int):
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             n = batch.num_rows
             norm = [t.translate(None, BLANKS) for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
@@ -45,8 +47,9 @@ def _digests(lanes: int):
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array(np.ones(n, np.int64)),
                     pa.array(np.full(n, part % lanes, np.int32)),
+                    *([batch.column("place")] if carried else []),
                 ],
-                names=["digest", "norm_bytes", "cp", "row", "doc_id", "n", "lane"],
+                names=["digest", "norm_bytes", "cp", "row", "doc_id", "n", "lane", *(["place"] if carried else [])],
             )
             seen += n
 
@@ -81,23 +84,26 @@ def _merge(batches):
 
 def _merged(runs: DataFrame) -> DataFrame:
     ordered = runs.sortWithinPartitions("lane", "digest", "norm_bytes", F.desc("cp"), F.asc_nulls_last("doc_id"), "row")
-    return ordered.mapInArrow(_merge, _RUN)
+    return ordered.mapInArrow(trimmed(_merge), _RUN)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", placed: bool = False) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without BLANKS. Of equal texts the row with the most code
     points stays, then the smallest id (null ids last), then the first row read. A null text
     counts as empty; empty texts form one group; a repeated row is a group of its own copies,
-    of which one row is kept; an empty table gives no rows; other columns are not read.
+    of which one row is kept; an empty table gives no rows; other columns are not read. With
+    `placed`, docs has to be read from Parquet and each row's place() is returned as well.
     """
     spark = docs.sparkSession
     rounds = max(2, math.ceil(math.log(max(2, shuffle_width(spark)), RADIX)))
     lanes = RADIX**rounds
-    source = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    base = store(source.mapInArrow(_digests(lanes), _RUN))
-    local = _merged(base)  # each partition's run, kept apart by lane
+    source = only(docs, id_col, text_col)
+    also = [place(source).alias("place")] if placed else []
+    source = source.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *also)
+    base = store(source.mapInArrow(trimmed(_digests(lanes, placed)), _RUN + ", place struct<file:bigint,at:bigint>" * placed))
+    local = _merged(base.drop("place"))  # each partition's run, kept apart by lane
     runs = local
     for t in range(rounds):
         # the digest's digit t takes the place of the lane's digit t
@@ -116,12 +122,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.when(single, F.lit(1).cast("long")).otherwise(F.col("group_size")).alias("group_size"),
         F.when(single, True).otherwise(F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
-        "row",
+        *(["place"] if placed else []),
     )
 
 
+def exact_deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that exact_dedup() keeps, with all their columns."""
+    docs = from_files(docs)
+    return without(docs, exact_dedup(docs, placed=True).filter("not kept"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("row")
+    return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 OP7_SQL = r"""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, only, sliced, store, table, texts
+from .common import crc_mod, from_files, only, place, sliced, store, table, texts, trimmed, without
 from .textkit import byte_grams, joined
 
 GRAM, BITS = 3, 14
@@ -56,26 +56,20 @@ def _count(languages: list[str]):
     return run
 
 
-def _with_text(batch):
-    """Rows that carry their document whole have their text in it."""
-    return batch if "text" in batch.schema.names else batch.append_column("text", batch.column("document").field("text"))
-
-
-def _likelihoods(log_text, name: str, last: bool, carried: bool):
-    """Adds the scores of one block of languages as column `name`; the text goes with the last block,
-    or at once where rows carry their document (carried)."""
+def _likelihoods(log_text, name: str, last: bool):
+    """Adds the scores of one block of languages as column `name`; the text goes with the last block."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in sliced(map(_with_text, batches), "text", SLICE):
+        for batch in sliced(batches, "text", SLICE):
             whole = texts(batch.column("text"))
             gram, owner = byte_grams(*joined(whole), GRAM, BITS)
             each = [TEMPER * np.bincount(owner, row[gram], minlength=batch.num_rows) for row in log_text]
             flat = np.column_stack(each).ravel()
             offsets = np.arange(0, len(flat) + 1, len(log_text), dtype=np.int32)
-            out = batch.drop_columns(["text"]) if last or carried else batch
+            out = batch.drop_columns(["text"]) if last else batch
             columns, names = [*out.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*out.schema.names, name]
             if last:
                 columns += [pa.array(np.bincount(owner, minlength=batch.num_rows).astype(np.int64)), pa.array([len(t) < GRAM and not t.strip() for t in whole], pa.bool_())]
@@ -113,7 +107,7 @@ def learn(labelled: DataFrame) -> Model:
         block = languages[at : at + MAX_LANGUAGES]
         counts = np.full((len(block), 1 << BITS), SMOOTHING)
         rows = known.filter(F.col("label").isin(block)).select("text", "label")
-        for r in rows.mapInArrow(_count(block), "language int, gram int, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).collect():
+        for r in rows.mapInArrow(trimmed(_count(block)), "language int, gram int, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).collect():
             counts[r["language"], r["gram"]] += r["n"]  # MAX_LANGUAGES * 2**BITS rows at most
         blocks.append(np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
     flat = np.full((1, 1 << BITS), -BITS * np.log(2)).astype(np.float32)
@@ -152,16 +146,15 @@ def identify(rows: DataFrame, model: Model, hosts: DataFrame, keep: list[str]) -
         host = F.broadcast(host)
     known = F.array(*map(F.lit, names))
     others = max(1, len(names) - 1)
-    text = [] if "document" in keep else ["text"]
-    scored = rows.select(*keep, "host", "declared", "address", *text)
+    scored = rows.select(*keep, "host", "declared", "address", "text")
     parts = [f"score_{k}" for k in range(len(model.blocks))]
     for name, block in zip(parts, model.blocks, strict=True):
         last = name == parts[-1]
-        fields = [f for f in scored.schema.fields if not (last and text and f.name == "text")]
+        fields = [f for f in scored.schema.fields if not (last and f.name == "text")]
         fields.append(T.StructField(name, T.ArrayType(T.DoubleType())))
         if last:
             fields += [T.StructField("n_grams", T.LongType()), T.StructField("blank", T.BooleanType())]
-        scored = scored.mapInArrow(_likelihoods(block, name, last, not text), T.StructType(fields))
+        scored = scored.mapInArrow(trimmed(_likelihoods(block, name, last)), T.StructType(fields))
     scored = scored.withColumn("score", F.concat(*parts))
 
     def witness(column: str, sure: float):
@@ -203,11 +196,12 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that identify_documents() accepts, with all their columns."""
-    whole = docs.select("doc_id", "text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
-    rows = document_rows(whole, ["document"])
+    docs = from_files(docs)
+    d = only(docs, "doc_id", "text", "lang", "source")
+    rows = document_rows(d.withColumn("place", place(d)), ["place"])
     model = learn(rows.select("text", "label"))
-    found = identify(rows, model, rows.select("host", "domain", "label"), ["document"])
-    return found.filter(ACCEPTED).select("document.*")
+    found = identify(rows, model, rows.select("host", "domain", "label"), ["place"])
+    return without(docs, found.filter(f"NOT ({ACCEPTED})"))
 
 
 def visible(html):

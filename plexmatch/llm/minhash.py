@@ -14,7 +14,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, sliced, store, table, texts
+from .common import HOT_LEAST, discard, from_files, joined_by_size, only, place, sliced, store, table, texts, trimmed, without
 from .textkit import GOLDEN, Words, mix, shingles
 
 SHINGLE = 5
@@ -22,7 +22,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 26, 5  # a pair at 0.8 shares a band with probability 1 - (1 - 0.8**5)**26 = 0.99997
 K = BANDS * ROWS
 LEAST_AGREEMENT = 0.64  # of K coordinates; a pair at 0.8 is below with probability under 1e-5
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 1 << 20  # members of a bucket, and bytes of their sets, looked at against another block
+HOT_LEADS, LEAD_BYTES = 256, 4 << 20  # sets, and their bytes, that meet one copy of a lead's set
 SEED = 0x5EED
 
 
@@ -94,14 +95,16 @@ def dart_signatures(elements, weights, owner, n: int, k: int = K):
     return signature
 
 
-def _signed(counted: bool):
+def _signed(counted: bool, carried: bool):
+    """With `carried`, a row's column place goes along."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text"):
             n = batch.num_rows
             e, weight, owner = _element_sets(texts(batch.column("text")), counted)
             cut = np.searchsorted(owner, np.arange(n + 1))
@@ -114,8 +117,8 @@ def _signed(counted: bool):
             digest = [hashlib.md5(e[a:b].tobytes() + (weight[a:b].tobytes() if counted else b"")).digest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             offsets = pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + n)), batch.column("doc_id"), batch.column("text_md5"), pa.array(digest, pa.binary()), pa.array(np.diff(cut)), pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel())), pa.array([x.tobytes() for x in small], pa.binary())],
-                names=["row", "doc_id", "text_md5", "digest", "elements", "bands", "small"],
+                [pa.array(np.arange(row, row + n)), batch.column("doc_id"), batch.column("text_md5"), pa.array(digest, pa.binary()), pa.array(np.diff(cut)), pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel())), pa.array([x.tobytes() for x in small], pa.binary()), *([batch.column("place")] if carried else [])],
+                names=["row", "doc_id", "text_md5", "digest", "elements", "bands", "small", *(["place"] if carried else [])],
             )
             row += n
 
@@ -132,7 +135,7 @@ def _sets(counted: bool):
         import numpy as np
         import pyarrow as pa
 
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text"):
             e, weight, owner = _element_sets(texts(batch.column("text")), counted)
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             out = [e[a:b].tobytes() + (weight[a:b].astype(np.uint64).tobytes() if counted else b"") for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -215,102 +218,175 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp): comp is the least node connected with node. links: (a, b), any direction.
 
     Every round each node takes the least label around it and then that label's own label; rounds
-    go on until none changes. Each round is written to the shared folder.
+    go on until none changes. Each round is written to the shared folder. Nodes with many links, and
+    labels of large components, are met by broadcasts of bounded size.
     """
-    both = store(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    total = 2 * links.count()
+    both = store(links.select("a", "b").union(links.select("b", "a")).distinct(), total)
+    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"), F.count("*").alias("n")), total)
+    nodes, edges = labels.count(), both.select("a", F.col("b").alias("node"))
+    hubs = labels.filter(F.col("n") > HOT_LEAST).limit(1).count()
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        up = labels.select(F.col("node").alias("up"), F.col("comp").alias("over"))
-        new = store(step.join(up, step["comp"] == up["up"], "left").select("node", "old", F.least("comp", F.coalesce("over", "comp")).alias("comp")))
+        around = joined_by_size(edges, labels, ["node"], "n", total) if hubs else edges.join(labels, "node")
+        near = around.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        step = labels.join(near, "node").select("node", "n", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        over = labels.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
+        if hubs:
+            step = store(step, nodes)
+            over = store(step.groupBy("comp").agg(F.count("*").alias("users")).join(over, "comp"), nodes)
+            jump = joined_by_size(step, over, ["comp"], "users", nodes)
+        else:
+            jump = step.join(over, "comp")
+        new = store(jump.select("node", "n", "old", F.least("comp", "over").alias("comp")), nodes)
         changed = new.filter("comp != old").limit(1).count()
-        labels = new.select("node", "comp")
+        discard(labels, *([step, over] if hubs else []))
+        labels = _same_files(new, "node", "n", "comp")
         if not changed:
-            return labels
+            discard(both)
+            return _same_files(new, "node", "comp")
+
 
+def _same_files(stored: DataFrame, *columns: str) -> DataFrame:
+    out = stored.select(*columns)
+    out._plexmatch_path = stored._plexmatch_path
+    return out
 
-def near_duplicates(docs: DataFrame, counted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size, kept, elements, row: one row per input row.
+
+def near_duplicates(docs: DataFrame, counted: bool = False, id_col: str = "doc_id", text_col: str = "text", placed: bool = False) -> DataFrame:
+    """doc_id, class_id, class_size, kept, elements: one row per input row.
 
     Two documents are linked when the Jaccard similarity of their sets of SHINGLE-word runs is
-    SIMILARITY or more (with `counted`, of the multisets); a class is a connected component, its id
-    the smallest doc_id in it, and the row with that id (the first read, if repeated) is kept. A text
-    of fewer words has one run of all its words. Null and empty texts have none: each is a class of
-    its own and kept. Null ids come last and may leave class_id null; an empty table gives no rows;
-    other columns are not read.
+    SIMILARITY or more (with `counted`, of the multisets: each run weighs its number); a class is a
+    connected component, its id the smallest doc_id in it, and the row with that id (the first read,
+    if repeated) is kept. A text of fewer words has one run of all its words. Null and empty texts
+    have none: each is a class of its own and kept. Null ids come last and may leave class_id null; an
+    empty table gives no rows; other columns are not read. With `placed`, docs has to be read from
+    Parquet and each row's place() is returned as well.
 
     Equal sets are collapsed first, so copies never meet as pairs. In each bucket every member is
     compared with the least one; only buckets that still hold several components are looked at
-    again, in blocks, comparing members of different components whose signatures agree enough.
+    again, in blocks of bounded size, and only blocks of different components meet. Buckets, leads
+    and classes with very many rows are met by broadcasts of bounded size, and a lead's set is copied
+    once for every few hundred sets that are compared with it.
     """
-    d = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    d = only(docs, id_col, text_col)
+    also = [place(d).alias("place")] if placed else []
+    d = d.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *also)
     d = d.withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    signed = store(d.mapInArrow(_signed(counted), _SIGNED))
+    signed = store(d.mapInArrow(trimmed(_signed(counted, placed)), _SIGNED + ", place struct<file:bigint,at:bigint>" * placed))
+    count = signed.count()
     some = signed.filter("elements > 0")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    sets = store(some.groupBy("digest").agg(head.alias("head"), F.count("*").alias("n")).select("digest", "n", "head.*").withColumnRenamed("doc_id", "id"))
+    sets = store(some.groupBy("digest").agg(head.alias("head"), F.count("*").alias("n")).select("digest", "n", "head.*").withColumnRenamed("doc_id", "id"), count)
     reps = signed.join(sets.select("row"), "row", "left_semi")
+    unit = 16 if counted else 8  # bytes of a set's element
 
-    spread = reps.select("row", F.posexplode("bands").alias("band", "bucket"))
-    groups = spread.groupBy("band", "bucket").agg(F.min("row").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    members = store(spread.join(groups, ["band", "bucket"]))
+    spread = reps.select("row", "elements", F.posexplode("bands").alias("band", "bucket"))
+    groups = store(spread.groupBy("band", "bucket").agg(F.min("row").alias("lead"), F.count("*").alias("n")).filter("n > 1"), BANDS * count)
+    members = store(joined_by_size(spread, groups, ["band", "bucket"], "n", BANDS * sets.count()), BANDS * count)
     wanted = members.select("row").distinct()
     source = signed.join(wanted, "row", "left_semi").select("row", F.col("doc_id").alias("id"), "text_md5")
-    found = d.join(source, (d["text_md5"] == source["text_md5"]) & d["doc_id"].eqNullSafe(source["id"])).select("row", "text")
-    held = store(found.mapInArrow(_sets(counted), "row long, members binary").dropDuplicates(["row"]))
-
-    star = members.filter("row != lead").select(F.col("row").alias("a"), F.col("lead").alias("b")).distinct()
-    with_a = star.join(held.select(F.col("row").alias("a"), F.col("members").alias("ma")), "a")
-    with_b = with_a.join(held.select(F.col("row").alias("b"), F.col("members").alias("mb")), "b")
-    links = store(with_b.select("a", "b", "ma", "mb").mapInArrow(_verified(counted), "a long, b long"))
+    found = d.drop("place").join(source, (d["text_md5"] == source["text_md5"]) & d["doc_id"].eqNullSafe(source["id"])).select("row", "text")
+    held = store(found.mapInArrow(trimmed(_sets(counted)), "row long, members binary").dropDuplicates(["row"]), BANDS * count)
+
+    star = store(members.filter("row != lead").select(F.col("row").alias("a"), F.col("lead").alias("b"), "elements").distinct(), BANDS * count)
+    pieces = F.greatest(F.ceil(F.count("*") / HOT_LEADS), F.ceil(F.sum("elements") * unit / LEAD_BYTES)).cast("int")
+    leads = store(star.groupBy("b").agg(F.count("*").alias("n"), pieces.alias("pieces")), count)
+    with_a = joined_by_size(star, leads, ["b"], "n", star.count()).withColumn("piece", F.pmod(F.xxhash64("a"), F.col("pieces")).cast("int"))
+    with_a = with_a.select("a", "b", "piece").join(held.select(F.col("row").alias("a"), F.col("members").alias("ma")), "a")
+    with_b = leads.join(held.select(F.col("row").alias("b"), F.col("members").alias("mb")), "b").select("b", "mb", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    links = store(with_a.join(with_b, ["b", "piece"]).select("a", "b", "ma", "mb").mapInArrow(trimmed(_verified(counted)), "a long, b long"), BANDS * count)
+    discard(star, leads)
     comps = components(links)
 
-    tagged = members.join(comps, members["row"] == comps["node"], "left").select("band", "bucket", "n", "row", F.coalesce("comp", "row").alias("comp"))
-    mixed = tagged.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band", "bucket")
-    open_ = tagged.filter("n > 2").join(mixed, ["band", "bucket"])
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.withColumns({"lower": F.least("block", "other"), "upper": F.greatest("block", "other"), "side": F.when(F.col("block") > F.col("other"), 1).otherwise(0)})
-    full = open_.join(held, "row").join(reps.select("row", "bands", "small"), "row")
-    more = store(full.groupBy("band", "bucket", "lower", "upper").applyInArrow(_between(counted), "a long, b long"))
+    more = store(_mixed(members, comps, unit, BANDS * count).join(held, "row").join(reps.select("row", "bands", "small"), "row").groupBy("band", "bucket", "lower", "low_piece", "upper", "high_piece").applyInArrow(_between(counted), "a long, b long"), BANDS * count)
     if more.limit(1).count():
+        discard(comps)
         comps = components(links.union(more))
 
     owner = sets.join(comps, sets["row"] == comps["node"], "left").select("digest", F.coalesce("comp", "row").alias("comp"), "n", F.struct("none", "id", "row").alias("head"))
-    classes = owner.groupBy("comp").agg(F.sum("n").alias("class_size"), F.min("head").alias("best")).filter("class_size > 1")
-    special = owner.join(classes, "comp").select("digest", "class_size", F.col("best.id").alias("class_id"), F.col("best.row").alias("keep_row"))
-    out = signed.select("row", "doc_id", "digest", "elements").join(special, "digest", "left")
-    alone = F.col("keep_row").isNull() | (F.col("elements") == 0)
-    return out.select(
+    classes = owner.groupBy("comp").agg(F.sum("n").alias("class_size"), F.min("head").alias("best"), F.count("*").alias("texts")).filter("class_size > 1")
+    special = joined_by_size(owner, store(classes, count), ["comp"], "texts", sets.count()).select("digest", "n", "class_size", F.col("best.id").alias("class_id"), F.col("best.row").alias("keep_row"))
+    special = store(special, count)
+    out = joined_by_size(signed.filter("elements > 0"), special, ["digest"], "n", count, "left")
+    discard(sets, groups, members, held, links, more, comps)
+    alone = F.col("keep_row").isNull()
+    out = out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),
         F.when(alone, True).otherwise(F.col("row") == F.col("keep_row")).alias("kept"),
         "elements",
-        "row",
+        *(["place"] if placed else []),
+    )
+    none = signed.filter("elements = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "elements", *(["place"] if placed else []))
+    return out.unionByName(none)
+
+
+def _mixed(members: DataFrame, comps: DataFrame, unit: int, rows: int) -> DataFrame:
+    """Members of buckets that hold several components, once for each pair of blocks to compare.
+
+    A component that fills several blocks has blocks of its own, which never meet each other; the
+    bucket's other members share blocks, which meet all.
+    """
+    tagged = members.join(comps, members["row"] == comps["node"], "left").select("band", "bucket", "row", "elements", F.coalesce("comp", "row").alias("comp"))
+    blocks = lambda n, e: F.greatest(F.ceil(n / BLOCK), F.ceil(e * unit / BLOCK_BYTES)).cast("int")
+    per = tagged.groupBy("band", "bucket", "comp").agg(F.count("*").alias("c"), F.sum("elements").alias("e")).withColumn("pieces", blocks(F.col("c"), F.col("e")))
+    small = F.col("pieces") <= 1
+    large = F.collect_list(F.when(~small, F.struct("comp", "pieces")))
+    mixed = per.groupBy("band", "bucket").agg(
+        F.sum("c").alias("n"), F.count("*").alias("comps"), large.alias("large"), F.coalesce(blocks(F.sum(F.when(small, F.col("c"))), F.sum(F.when(small, F.col("e")))), F.lit(0)).alias("shared")
     )
+    mixed = store(mixed.filter("comps > 1 AND n > 2").drop("comps"), rows)  # of two members, one is the lead
+    rows = joined_by_size(tagged, mixed, ["band", "bucket"], "n", members.count())
+    mine = F.get(F.filter("large", lambda x: x["comp"] == F.col("comp")), F.lit(0))["pieces"]
+    rows = rows.withColumn("pieces", F.coalesce(mine, F.lit(0))).withColumn("own", F.when(F.col("pieces") > 0, F.col("comp")).otherwise(-1))
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("row"), F.when(F.col("pieces") > 0, F.col("pieces")).otherwise(F.col("shared"))).cast("int"))
+    places = lambda who, n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(who.cast("long").alias("who"), i.alias("piece")))).otherwise(F.array().cast("array<struct<who:bigint,piece:int>>"))
+    others = F.concat(F.flatten(F.transform(F.filter("large", lambda x: x["comp"] != F.col("own")), lambda x: places(x["comp"], x["pieces"]))), places(F.lit(-1), F.col("shared")))
+    rows = rows.withColumn("other", F.explode(others))
+    first = (F.col("own") < F.col("other.who")) | ((F.col("own") == F.col("other.who")) & (F.col("piece") <= F.col("other.piece")))
+    return rows.select(
+        "band", "bucket", "row", "comp", F.when(first, 0).otherwise(1).alias("side"),
+        F.when(first, F.col("own")).otherwise(F.col("other.who")).alias("lower"), F.when(first, F.col("piece")).otherwise(F.col("other.piece")).alias("low_piece"),
+        F.when(first, F.col("other.who")).otherwise(F.col("own")).alias("upper"), F.when(first, F.col("other.piece")).otherwise(F.col("piece")).alias("high_piece"),
+    )
+
+
+def near_deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, with all their columns."""
+    docs = from_files(docs)
+    return without(docs, near_duplicates(docs, placed=True).filter("not kept"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_weighted_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over multisets: a run of words weighs as often as it stands in a text."""
+    return near_duplicates(table(spark, sf_dir, "documents"), counted=True)
 
 
-OP2_SQL = r"""
+def _oracle(counted: bool) -> str:
+    """Classes by exact similarity of all pairs that share a run; the size of a counted set is the sum of its numbers."""
+    return r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, doc_id,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
-  SELECT DISTINCT r, unnest([array_to_string(w[i + 1 : i + 5], ' ') FOR i IN range(greatest(1, len(w) - 4))]) AS g
-  FROM d WHERE len(w) > 0),
-n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
-p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+  SELECT r, g, WEIGHT AS m FROM (SELECT r, unnest([array_to_string(w[i + 1 : i + 5], ' ') FOR i IN range(greatest(1, len(w) - 4))]) AS g
+  FROM d WHERE len(w) > 0) GROUP BY r, g),
+n AS (SELECT r, sum(m) AS n, count(*) AS elements FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, sum(least(a.m, b.m)) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
 l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 k AS (SELECT r, r AS m FROM d UNION SELECT k.r, e.y FROM k JOIN e ON e.x = k.m),
 c AS (SELECT r, min(m) AS m, count(*) AS class_size FROM k GROUP BY r)
-SELECT d.doc_id, h.doc_id AS class_id, c.class_size::BIGINT AS class_size, c.m = c.r AS kept, coalesce(n.n, 0)::BIGINT AS elements
+SELECT d.doc_id, h.doc_id AS class_id, c.class_size::BIGINT AS class_size, c.m = c.r AS kept, coalesce(n.elements, 0)::BIGINT AS elements
 FROM c JOIN d ON d.r = c.r JOIN d h ON h.r = c.m LEFT JOIN n ON n.r = c.r
-"""
+""".replace("WEIGHT", "count(*)" if counted else "1")
+
+
+OP2_SQL, OP2_WEIGHTED_SQL = _oracle(False), _oracle(True)

@@ -9,6 +9,7 @@ def queries() -> dict:
     return {
         "op1_feistel_shards": sharding.op1_feistel_shards,
         "op2_near_duplicates": minhash.op2_near_duplicates,
+        "op2_weighted_near_duplicates": minhash.op2_weighted_near_duplicates,
         "op3_repeated_words": substring_dedup.op3_repeated_words,
         "op4_packed_sequences": packing.op4_packed_sequences,
         "op5_personal_data": pii.op5_personal_data,
@@ -25,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_feistel_shards": sharding.OP1_SQL,
         "op2_near_duplicates": minhash.OP2_SQL,
+        "op2_weighted_near_duplicates": minhash.OP2_WEIGHTED_SQL,
         "op3_repeated_words": substring_dedup.OP3_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
         "op9_contaminated": decontaminate.OP9_SQL,
