@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 HEADLINE = (
     "m_edge_cn", "m_path_rnc", "c_path_cops", "c_star2_op", "c_star3_op", "m_star2_ns", "c_wedge_opo", "m_branch_rnsc", "m_cycle5",
     "m_cycle4_opop", "c_bowtie", "c_conf_coop", "c_conf_psp", "c_cycle5", "c_homomorphisms", "g_degree_table", "r_global_rank",
+    "t_toy_cycle", "f_ldf_counts", "f_bloom_semi_join", "s_text_graph_match",
 )
 
 
