@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
@@ -66,14 +66,18 @@ def plan_around(pattern: Pattern, g: Twins, also: tuple[int, ...] = ()) -> Plan:
 
 
 def listed(graph: Graph, pattern: Pattern, g: Twins) -> DataFrame:
-    """Corners and twins as columns, all different where labels are equal."""
+    """Corners and twins as columns, all different where labels are equal.
+
+    Only pairs of corners with enough wedges go on, and those collect their middles: k twins make at
+    least n (n - 1) rows of n middles, so an array is never what is too large.
+    """
+    all_wedges = wedges(graph, pattern, g, True)
+    enough = all_wedges.groupBy("_a", "_b").agg(F.count("*").alias("n")).filter(F.col("n") >= len(g.members)).select("_a", "_b")
+    middles = all_wedges.join(enough, ["_a", "_b"], "left_semi").groupBy("_a", "_b").agg(F.collect_list("_m").alias("_all"))
     a, b = (pattern.column(u) for u in g.corners)
-    enough = F.count("*").over(Window.partitionBy("_a", "_b")) >= len(g.members)
-    some = wedges(graph, pattern, g, True).withColumn("_enough", enough).filter("_enough").drop("_enough")
-    out = None
+    out = middles.select(F.col("_a").alias(a), F.col("_b").alias(b), "_all")
     for i, u in enumerate(g.members):
-        one = some.select(F.col("_a").alias(a), F.col("_b").alias(b), F.col("_m").alias(pattern.column(u)))
-        out = one if out is None else out.join(one, [a, b])
+        out = out.withColumn(pattern.column(u), F.explode("_all"))
         for v in g.members[:i]:
             out = out.filter(F.col(pattern.column(u)) != F.col(pattern.column(v)))
-    return out
+    return out.drop("_all")
