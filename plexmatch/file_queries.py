@@ -8,6 +8,7 @@ from __future__ import annotations
 import contextlib
 import io
 import os
+import re
 import tempfile
 import uuid
 
@@ -129,6 +130,17 @@ def command_line(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(f"{at}/out").groupBy("value").agg(F.count("*").alias("n"))
 
 
+def single_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What the command line reports for two orders: (name, matching_order, mapping_count)."""
+    at = folder(spark)
+    sinks.write_lines(to_lines(star_graph(spark, sf)), f"{at}/graph")
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        cli.main(["-d", f"{at}/graph", "-q", _uploaded(spark, {"edge.txt": PATTERN_FILES["edge.txt"]}), "-input", "spark", "-order", "dad", "-pseudo", "off", "-preprocess", "off"])
+    found = re.findall(r"^(\S+) (\S+): Mapping count = (\d+) ", said.getvalue(), re.MULTILINE)
+    return spark.createDataFrame([(a, b, int(n)) for a, b, n in found], "name string, matching_order string, mapping_count bigint")
+
+
 def batch_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Totals of a batch: mappings, and whether there is an average time."""
     total = summary(batch(star_graph(spark, sf), [Pattern.of("cn", "01"), Pattern.of("rns", "01 12")], "dad"))
@@ -222,6 +234,7 @@ QUERIES = {
     "s_fastq_put": fastq_put,
     "s_rejected_lines": lines_left_out,
     "s_command_line": command_line,
+    "s_single_report": single_report,
     "s_streamed_degrees": streamed_degrees,
     "p_batch_totals": batch_totals,
     "p_plan_lines": plan_lines,
@@ -249,6 +262,7 @@ def oracles(pattern_sql, slice_sql, pair_sql: str) -> dict[str, str]:
         "s_rejected_lines": "SELECT * FROM (VALUES ('x a 2 b', 'no id'), ('3 c y b 1 a', 'neighbour without id'), ('4', 'no label'), ('5 a 1', 'neighbour without label'), ('99999999999999999999 a', 'no id')) t(value, reason)",
         "s_command_line": f"WITH m AS ({path}) SELECT value, count(*)::BIGINT AS n FROM (SELECT '# Match' AS value FROM m UNION ALL SELECT '0 ' || u_0 FROM m UNION ALL SELECT '1 ' || u_1 FROM m UNION ALL SELECT '2 ' || u_2 FROM m) GROUP BY value",
         "s_streamed_degrees": f"SELECT src, 'c' AS dst_label, count(*)::BIGINT AS deg FROM {slice_sql('n', 'c')} GROUP BY src",
+        "s_single_report": " UNION ALL ".join(f"SELECT 'edge.txt' AS name, '{o}' AS matching_order, {counted(edge)} AS mapping_count" for o in ("degree", "anti-degree")),
         "p_batch_totals": f"SELECT 2 * ({counted(Pattern.of('cn', '01'))} + {counted(Pattern.of('rns', '01 12'))})::BIGINT AS mappings, true AS timed",
         "p_plan_lines": "SELECT * FROM (VALUES (0, '0:a'), (1, '  1:c'), (2, '    2:b'), (3, '      3:c (adjacent to 0, differs from 1)'), (4, '0:n'), (5, '  1:s (countable leaf)'), (6, '  2:s (differs from 1, countable leaf)'), (7, '  3:c (countable leaf)')) t(line_no, line)",
         "x_pattern_helpers": "SELECT * FROM (VALUES " + ", ".join(f"({u}, {v}, {helpers.has_edge(u, v)}, {(u, v) in above}, {places[u]}, {helpers.degree(u)})" for u in range(5) for v in range(5) if u != v) + ") t(u, v, edge, ancestor, place, degree)",

@@ -24,14 +24,17 @@ class Graph:
         labels: list[str] | None = None,
         pairs: list[tuple[str, str]] | None = None,
         whole: DataFrame | None = None,
+        single: set[tuple[str, str]] = frozenset(),
     ):
         """pairs: the label pairs that have a slice of their own, if they are known.
 
+        single: pairs (a, b) where a vertex of label a is known to have one neighbour of label b at most.
+
         whole: the table all slices are cut from, which persist() keeps in memory; without it, it
         keeps each slice that has been asked for.
         """
         self._vertices, self._slices, self._all_vertices, self._all_edges = vertices, slices, all_vertices, all_edges
-        self._labels, self.pairs, self._whole, self._persists, self._kept = labels, pairs, whole, False, {}
+        self._labels, self.pairs, self.single, self._whole, self._persists, self._kept = labels, pairs, single, whole, False, {}
 
     @classmethod
     def from_edges(cls, vertices: DataFrame, edges: DataFrame, labels: list[str] | None = None) -> Graph:

@@ -20,13 +20,17 @@ def place(partial: DataFrame, graph: Graph, the_plan: Plan, u: int, injective: b
     step = graph.edges(label[parent], label[u]).select(F.col("src").alias("_from"), F.col("dst").alias(mine))
     if candidates and u in candidates:
         step = step.join(candidates[u].select(F.col("vid").alias(mine)), mine, "left_semi")
-    on = F.col(above) == F.col("_from")
+    on, backs = F.col(above) == F.col("_from"), the_plan.back_edges(u)
+    for v in [v for v in backs if (label[u], label[v]) in graph.single]:
+        # the step's rows take their one such neighbour along, so that only what closes is joined at all
+        step = step.join(graph.edges(label[u], label[v]).select(F.col("src").alias(mine), F.col("dst").alias(f"_back_{v}")), mine)
+        on, backs = on & (F.col(pattern.column(v)) == F.col(f"_back_{v}")), [x for x in backs if x != v]
     if injective:
         for v in the_plan.rivals(u):
             if keep is None or v in keep:
                 on = on & (F.col(pattern.column(v)) != F.col(mine))
-    out = partial.join(step, on).drop("_from")
-    for v in the_plan.back_edges(u):
+    out = partial.join(step, on).drop("_from", *[f"_back_{v}" for v in the_plan.back_edges(u)])
+    for v in backs:
         edge = graph.edges(label[v], label[u]).select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
         out = out.join(edge, (F.col(pattern.column(v)) == F.col("_a")) & (F.col(mine) == F.col("_b")), "left_semi")
     return out

@@ -17,7 +17,7 @@ VERTICES = {
     "o": (4, "orders", "o_orderkey"),
     "p": (5, "part", "p_partkey"),
 }
-#: (label, label) -> (table, key column of each); is each pair there once already?
+#: (label, label) -> (table, key column of each); is the first the table's key, so that it has one row and one such neighbour?
 EDGES = {
     ("n", "r"): ("nation", "n_nationkey", "n_regionkey", True),
     ("c", "n"): ("customer", "c_custkey", "c_nationkey", True),
@@ -67,4 +67,4 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
             out = one if out is None else out.unionByName(one)
         return out
 
-    return Graph(vertices, slices, all_vertices, all_edges, list(VERTICES), [*EDGES, *[(b, a) for a, b in EDGES]])
+    return Graph(vertices, slices, all_vertices, all_edges, list(VERTICES), [*EDGES, *[(b, a) for a, b in EDGES]], single={pair for pair, (*_, unique) in EDGES.items() if unique})
