@@ -23,6 +23,7 @@ BANDS, ROWS = 26, 5  # a pair at 0.8 shares a band with probability 1 - (1 - 0.8
 K = BANDS * ROWS
 LEAST_AGREEMENT = 0.64  # of K coordinates; a pair at 0.8 is below with probability under 1e-5
 BLOCK, BLOCK_BYTES = 512, 1 << 20  # members of a bucket, and bytes of their sets, looked at against another block
+LARGE = 100  # a component of one in so many of a bucket's members may have blocks of its own, so a bucket has at most that many such
 HOT_LEADS, LEAD_BYTES = 256, 4 << 20  # sets, and their bytes, that meet one copy of a lead's set
 SEED = 0x5EED
 
@@ -326,18 +327,19 @@ def near_duplicates(docs: DataFrame, counted: bool = False, id_col: str = "doc_i
 def _mixed(members: DataFrame, comps: DataFrame, unit: int, rows: int) -> DataFrame:
     """Members of buckets that hold several components, once for each pair of blocks to compare.
 
-    A component that fills several blocks has blocks of its own, which never meet each other; the
-    bucket's other members share blocks, which meet all.
+    A component that fills several blocks, and a LARGE-th of the bucket at least, has blocks of its own,
+    which never meet each other; the bucket's other members share blocks, which meet all.
     """
     tagged = members.join(comps, members["row"] == comps["node"], "left").select("band", "bucket", "row", "elements", F.coalesce("comp", "row").alias("comp"))
     blocks = lambda n, e: F.greatest(F.ceil(n / BLOCK), F.ceil(e * unit / BLOCK_BYTES)).cast("int")
     per = tagged.groupBy("band", "bucket", "comp").agg(F.count("*").alias("c"), F.sum("elements").alias("e")).withColumn("pieces", blocks(F.col("c"), F.col("e")))
-    small = F.col("pieces") <= 1
-    large = F.collect_list(F.when(~small, F.struct("comp", "pieces")))
-    mixed = per.groupBy("band", "bucket").agg(
-        F.sum("c").alias("n"), F.count("*").alias("comps"), large.alias("large"), F.coalesce(blocks(F.sum(F.when(small, F.col("c"))), F.sum(F.when(small, F.col("e")))), F.lit(0)).alias("shared")
-    )
-    mixed = store(mixed.filter("comps > 1 AND n > 2").drop("comps"), rows)  # of two members, one is the lead
+    big = F.collect_list(F.when(F.col("pieces") > 1, F.struct("comp", "pieces", "c", "e")))
+    mixed = per.groupBy("band", "bucket").agg(F.sum("c").alias("n"), F.sum("e").alias("e"), F.count("*").alias("comps"), big.alias("big"))
+    mixed = mixed.filter("comps > 1 AND n > 2")  # of two members, one is the lead
+    mixed = mixed.withColumn("large", F.filter("big", lambda x: x["c"] * LARGE >= F.col("n")))
+    left = lambda whole, field: F.col(whole) - F.aggregate("large", F.lit(0).cast("long"), lambda a, x: a + x[field])
+    mixed = mixed.withColumn("shared", F.when(left("n", "c") > 0, blocks(left("n", "c"), left("e", "e"))).otherwise(0)).select("band", "bucket", "n", "large", "shared")
+    mixed = store(mixed, rows)
     rows = joined_by_size(tagged, mixed, ["band", "bucket"], "n", members.count())
     mine = F.get(F.filter("large", lambda x: x["comp"] == F.col("comp")), F.lit(0))["pieces"]
     rows = rows.withColumn("pieces", F.coalesce(mine, F.lit(0))).withColumn("own", F.when(F.col("pieces") > 0, F.col("comp")).otherwise(-1))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import zlib
+from array import array
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,13 @@ def none(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
+def test_op1_many_copies_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    docs = spark.createDataFrame([(1, "same")] * 50 + [(2, "other"), (None, None), (None, None)], "doc_id long, text string")
+    got = sharding.feistel_shards(docs, shards=4).collect()
+    assert sorted(r["place"] for r in got) == list(range(53)) and sum(r["doc_id"] == 1 for r in got) == 50
+
+
 def test_op1_places_are_a_permutation(spark, docs, none):
     for n in (1, 2, 3, 10, 97, 1000):
         assert sorted(sharding.permuted(x, n) for x in range(n)) == list(range(n))
@@ -130,6 +138,44 @@ def test_op2_large_group_of_near_copies(spark, tmp_path, monkeypatch):
     assert [got[i] for i, _ in texts] == classes(texts)
 
 
+def test_op2_weighted_classes(spark):
+    """Repeated runs of words count as often as they stand; hot buckets, leads and hubs take their own way."""
+    head, tail = " ".join(f"h{i}" for i in range(40)), " ".join(f"t{i}" for i in range(12))
+    texts = [(0, f"{head} {tail}"), (1, f"{head} {tail} {tail} {tail}"), (2, f"{head} {tail}  {tail} {tail} x"), (3, f"{head} {tail} y")]
+    got = {c: {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), counted=c).collect()} for c in (False, True)}
+
+    def alike(a, b, counted):
+        x, y = (collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (a.split(), b.split()))
+        x, y = (x, y) if counted else (dict.fromkeys(x, 1), dict.fromkeys(y, 1))
+        both = sum(min(x.get(k, 0), y.get(k, 0)) for k in x)
+        return both >= 0.8 * (sum(x.values()) + sum(y.values()) - both)
+
+    for counted in (False, True):
+        for i, a in texts:
+            for j, b in texts:
+                assert not alike(a, b, counted) or got[counted][i] == got[counted][j]
+    assert got[False] == {0: 0, 1: 0, 2: 0, 3: 0} and got[True] == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
+def test_op2_hot_groups(spark, tmp_path, monkeypatch):
+    import random
+
+    from plexmatch.llm import common
+
+    rng, words = random.Random(8), [f"v{i}" for i in range(90)]
+    texts = []
+    for i in range(80):
+        w = list(words)
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            w[rng.randrange(len(w))] = f"n{rng.random()}"
+        texts.append((i, " ".join(w)))
+    spark.createDataFrame([*texts, *[(i + 100, t) for i, t in texts[:30]]], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    for module, name, value in ((common, "HOT_LEAST", 3), (minhash, "HOT_LEAST", 3), (minhash, "HOT_LEADS", 4), (minhash, "BLOCK", 8)):
+        monkeypatch.setattr(module, name, value)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    assert [got[i] for i, _ in texts] == classes(texts) and all(got[i + 100] == got[i] for i, _ in texts[:30])
+
+
 def test_op2_dart_signatures_estimate_weighted_similarity():
     import numpy as np
 
@@ -199,8 +245,7 @@ def test_op3_index_counts():
 
 
 def test_op4_round_trip(docs, none):
-    from array import array
-
+    
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
@@ -225,12 +270,12 @@ def test_op4_round_trip(docs, none):
 
 
 def test_op4_letters_that_end_in_a_mark():
-    from array import array
-
+    
     ids = packing.Ids(packing.default_tokenizer())
     words = [w + c + e for w in ("", "a", "\u0915") for c in "\u0130\u0958\u09dc\u0a33\ufb2a\u00e9\u1e9e\uac01e" for e in ".,"]
-    for w, got in zip(words, ids([w.encode() for w in words]), strict=True):
-        assert array("I", got).tolist() == [*ids.tokenizer.encode(w, add_special_tokens=False).ids, packing.END_ID], ascii(w)
+    got, begin = ids([w.encode() for w in words])
+    for w, a, b in zip(words, begin[:-1], begin[1:], strict=True):
+        assert got[a:b].tolist() == [*ids.tokenizer.encode(w, add_special_tokens=False).ids, packing.END_ID], ascii(w)
 
 
 def test_op4_first_fit_decreasing():
@@ -305,6 +350,38 @@ def test_op5_base_spans_and_disguises(spark, docs, none, sf):
         assert r["n_email"] == sum(k == "email" for k, _, _ in want)
 
 
+def test_op5_case_kin_and_long_texts():
+    import time
+
+    for text in ("\u017fix \u017feven", "f\u0130ve s\u0130x", "s\u0131x F\u00dcNF", "+4\u212a one two three"):
+        pii.find(text)
+    for w in pii.DIGIT_WORDS:
+        for i in range(len(w)):
+            for c in [*map(chr, range(0x250)), "\u1e9e", "\u212a", "\u212b"]:
+                pii.find(f"{w[:i]}{c}{w[i + 1 :]} {w}")
+    assert pii.deobfuscated("f\u0130ve \u017fix").text == "56"
+    n = 400_000
+    long = ["(at)" + " " * n, " " * n + "(at)", "x dot" + " " * n + "dot y", "a@b.co " * (n // 7) + " x (at) y.com", "( " * n, "one " * n, "at a " * n, "+1" + "(" * n, "a@" + "b" * n]
+    began = time.perf_counter()
+    found = [len(pii.find(t)[1]) for t in long]
+    assert time.perf_counter() - began < 60 and found[3] == n // 7 + 1
+
+
+def test_op5_spans_lead_back_to_the_source():
+    import random
+
+    rng, parts = random.Random(2), ["user", "one two", " ", "(at)", " dot ", "com", "\u0430", "\u200b", "\uff11", "x", " at ", "-", "192.168.1.1", "@", "."]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        tape = pii.deobfuscated(text)
+        for i, c in enumerate(tape.text):
+            s, e = tape.source(i, i + 1)
+            assert 0 <= s < e <= len(text)
+            if e - s == 1 and text[s].isascii() and text[s].isalnum():
+                assert text[s] == c
+    assert pii.find("mail: user (at) site [dot] org!")[1] == [("email", 6, 30)]
+
+
 def test_op6_accuracy_and_evidence(spark, docs, none):
 
     got = language_id.op6_language_id(spark, "/root/testdata/sf0.01")
@@ -358,6 +435,57 @@ def test_op6_more_languages_than_a_block_holds(spark, monkeypatch):
     assert language_id.accepted_documents(docs).count() == len(rows)
 
 
+def test_op6_posteriors_against_brute_force(spark, monkeypatch):
+    """The sum of all four witnesses in plain Python; taking one away changes it."""
+    import numpy as np
+    from plexmatch.llm.textkit import byte_grams, joined
+
+    train = [("der die das und nicht", "de"), ("the and not with you", "en"), ("le la les et pas", "fr"), ("the end", "en")]
+    hosts = [("a.x.org", "x.org", "de"), ("a.x.org", "x.org", "en"), ("b.x.org", "x.org", "en"), ("c.y.org", "y.org", "fr")]
+    rows = [(1, "<html lang=fr> the and", "http://q.de/", "a.x.org"), (2, "das und", "https://w.w/en/1", "z.x.org"), (3, "nicht the", None, None), (4, "et pas", "http://c.y.org/", None)]
+    names, grams = ["de", "en", "fr"], lambda t: byte_grams(*joined([t.encode()]), 3, 14)[0]
+    counts = {x: np.full(1 << 14, 0.1) for x in names}
+    for t, x in train:
+        np.add.at(counts[x], grams(t), 1)
+    prior = {x: (1 - 1e-3) * (sum(y == x for _, y in train) + 1) / (len(train) + 3) for x in names} | {"und": 1e-3}
+
+    def share(key, level, parent):
+        have = [h[2] for h in hosts if h[level] == key]
+        return {x: (have.count(x) + 20 * parent[x]) / (len(have) + 20) for x in parent} if have else parent
+
+    def posterior(text, url, host, witnesses="dah"):
+        import re
+
+        tag = re.search("lang=(..)", text)
+        path, top = re.search("//[^/]*/([a-z]{2})(?:/|$)", url or ""), re.search(r"//[^/]*\.([a-z]{2})(?:/|$)", url or "")
+        place = path or top
+        said = {"d": (tag and tag[1], 0.9), "a": (place and place[1], 0.8)}
+        host = host or (re.search("//([^/]*)", url)[1] if url else "")
+        known = host in {h[0] for h in hosts}
+        p = share(host, 0, share(".".join(host.split(".")[-2:]), 1, prior)) if known and "h" in witnesses else prior
+        total = {}
+        for x in [*names, "und"]:
+            like = np.log(counts[x] / counts[x].sum())[grams(text)].sum() if x != "und" else -14 * math.log(2) * len(grams(text))
+            total[x] = 0.25 * like + math.log(p[x])
+            for w, (what, sure) in said.items():
+                if w in witnesses and what in names and x != "und":
+                    total[x] += math.log(sure if what == x else (1 - sure) / 3)
+        best = max(total, key=total.get)
+        return best, 1 / sum(math.exp(v - total[best]) for v in total.values())
+
+    frame = spark.createDataFrame([(*r, None) for r in rows], "key long, text string, url string, host string, label string")
+    model = language_id.learn(spark.createDataFrame(train, "text string, label string"))
+    for most in (50_000, 0):  # hosts broadcast, and joined
+        monkeypatch.setattr(language_id, "MAX_BROADCAST_HOSTS", most)
+        found = language_id.identify(language_id.evidence(frame), model, spark.createDataFrame(hosts, "host string, domain string, label string"), ["key"]).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            want = posterior(*rows[r["key"] - 1][1:])
+            assert r["language"] == want[0] and abs(r["posterior"] - want[1]) < 1e-5
+    for w in "dah":
+        assert any(abs(posterior(*r[1:])[1] - posterior(*r[1:], "dah".replace(w, ""))[1]) > 1e-4 for r in rows)
+
+
 def test_op8_held_out_accuracy(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in quality.op8_quality_scores(spark, sf).collect()}
@@ -392,13 +520,35 @@ def test_op9_substitutions(spark, docs, none):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_op9_short_items_against_brute_force(spark, monkeypatch, broadcast):
+def test_op8_votes_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}{c}" for a in "bdgk" for b in "aeiou" for c in "lmnr"]
+    texts = [(i, " ".join(rng.choice(words[: 40 if i % 2 else 80], 30))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, marks).collect()}
+    f = quality._frequencies([t.encode() for _, t in texts]).astype(float)
+    grams = f[:, : 1 << quality.BITS]
+    idf = np.r_[np.log((1 + len(texts)) / (1 + (grams > 0).sum(axis=0))) + 0.3, np.ones(quality.SHARES)]
+    taught = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    x = f[taught].astype(np.float16).astype(float) * idf
+    _, _, v = np.linalg.svd(x, full_matrices=False)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = unit((f * idf) @ v.T) @ unit(x @ v.T).T
+    for i, row in enumerate(near):
+        top = sorted(range(len(taught)), key=lambda k: -row[k])[: quality.NEIGHBOURS]
+        weight = np.maximum(row[top], 0) ** quality.SHARPNESS
+        assert abs(got[i] - (weight * [taught[k] % 2 for k in top]).sum() / weight.sum()) < 5e-3
+
+
+@pytest.mark.parametrize(("least", "seeds"), [(5, 500_000), (2, 30)])
+def test_op9_short_items_against_brute_force(spark, least, seeds):
+    """All patterns of substitutions in items of 2 to 13 words, the benchmark in one block and in many."""
     from itertools import combinations
 
-    if not broadcast:
-        monkeypatch.setattr(decontaminate, "MAX_BROADCAST_SEEDS", 0)
-    items = {n: [f"i{n}w{j}" for j in range(n)] for n in range(5, 14)}
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in range(least, 14)}
     texts = []
     for n, item in items.items():
         for k in range(1, n - math.ceil(0.8 * n) + 2):  # up to one substitution too many
@@ -413,13 +563,7 @@ def test_op9_short_items_against_brute_force(spark, monkeypatch, broadcast):
     want = {(d, n, best(t.split(), item)) for d, t in enumerate(texts) for n, item in items.items() if best(t.split(), item) >= math.ceil(0.8 * n)}
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
-    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.contaminated(frame, bench).collect()} == want
-
-
-def test_op9_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_SEEDS", 0)
-    docs = spark.createDataFrame([(1, BASE), (2, "none of this")], "doc_id long, text string")
-    assert [r["doc_id"] for r in decontaminate.contaminated(docs, spark.createDataFrame([(5, BASE)], "item_id long, text string")).collect()] == [1]
+    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.contaminated(frame, bench, least_words=least, block_seeds=seeds).collect()} == want
 
 
 def test_op10_scores(docs, none):
@@ -437,6 +581,46 @@ def test_op10_scores(docs, none):
     assert lm_scoring.lm_scores(none).count() == 0
 
 
+def test_op10_document_scores_against_brute_force(spark):
+    units, log_p = lattice.read_units(lm_scoring.default_vocabulary())
+    p = dict(zip(units, log_p.tolist(), strict=True))
+
+    def word(w):
+        w, alpha = b" " + w, [0.0]
+        for j in range(1, len(w) + 1):
+            terms = [alpha[i] + p[w[i:j]] for i in range(max(0, j - 40), j) if w[i:j] in p]
+            alpha.append(math.log(sum(math.exp(t - max(terms)) for t in terms)) + max(terms))
+        return alpha[-1]
+
+    rows = [(1, "The cat\tsat on the Mat."), (2, "n\u00e4chste \u65e5\u672c " + "unbroken" * 700), (3, None), (4, "")]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), em_rounds=0, head_words=2).collect()}
+    for i, t in rows:
+        words = [w.encode().lower() for w in (t or "").split()]
+        want = (sum(map(word, words)) + math.log(lm_scoring.END_SHARE)) / math.log(10)
+        assert abs(got[i] - want) < 1e-6 * max(1, abs(want))
+
+
+def test_words_with_equal_linear_hashes(spark):
+    """A Thue-Morse word and its complement agree in every polynomial hash modulo a power of two."""
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rest = " ".join(f"w{i}" for i in range(40))
+    texts = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {one} {two}")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    # of 41 words the shared 40 are removed, the first one stays
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.repeated_words(docs).collect()}
+    assert removed == {1: (41, 40), 2: (41, 40), 3: (3, 0)}
+    held = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    c = collections.Counter(w for i, t in texts if i not in held for w in [*t.split(), "\n"])
+    n, v = sum(c.values()), len(c)
+    for r in lm_scoring.lm_scores(docs).collect():
+        toks = [*dict(texts)[r["doc_id"]].split(), "\n"]
+        assert r["n_known"] == sum(c[w] > 0 for w in toks)
+        assert abs(r["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in toks)) < 1e-9
+
+
 def test_op10_lattice_sums_all_segmentations():
     import numpy as np
 

@@ -62,3 +62,26 @@ def test_stages_take_odd_rows(spark, sf, tmp_path):
             assert got.count() <= 5
             if name != "packing":
                 assert got.columns == frame.columns
+
+
+def test_rows_keep_their_place_however_scans_are_cut(spark, tmp_path):
+    """What one pass finds is dropped by another that reads the files in other pieces, or on another number of cores."""
+    from plexmatch.llm import common, exact_dedup, minhash
+
+    texts = [(i, f"text number {i % 300} of the copies and words", "x" * 50) for i in range(900)]
+    spark.createDataFrame(texts, "doc_id long, text string, place string").repartition(3).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "d"))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    try:
+        for find in (exact_dedup.exact_dedup, minhash.near_duplicates):
+            for first, second in (("128m", "2k"), ("2k", "128m")):
+                for n, v in zip(names, (first, "1k"), strict=True):
+                    spark.conf.set(n, v)
+                dropped = common.store(find(docs, placed=True).filter("not kept"))
+                spark.conf.set(names[0], second)
+                left = common.without(docs, dropped)
+                assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == list(range(300))
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
