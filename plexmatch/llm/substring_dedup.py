@@ -14,7 +14,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, sliced, store, table, texts
+from .common import discard, joined_by_size, only, sliced, store, table, texts, trimmed
 from .fm_index import FMIndex, repeated_windows
 from .textkit import BASE, BLANK, Words, mix
 
@@ -22,7 +22,7 @@ WINDOW, GRAM = 35, 16
 LONGEST_RUN = 24  # windows in a passage at most
 SHARD_WORDS = 1_000_000
 HOT = 20_000  # an anchor with more occurrences sends each window on its own, dealt by content
-WORD_BYTES = 5  # of a word's hash; unequal windows would have to differ in colliding words only
+WORD_BYTES = 8  # all of a word's hash; unequal windows would have to differ in colliding words only
 
 
 def _slide(x, width: int, pick):
@@ -60,7 +60,7 @@ def _scan(window: int, gram: int):
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text"):
             n = batch.num_rows
             w = Words(texts(batch.column("text")))
             least, good, grams = window_anchors(w.hashes(), w.places, window, gram)
@@ -96,7 +96,7 @@ def _passages(window: int, gram: int):
         import numpy as np
         import pyarrow as pa
 
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text"):
             w = Words(texts(batch.column("text")))
             h = w.hashes()
             least, good, _ = window_anchors(h, w.places, window, gram)
@@ -153,7 +153,7 @@ def _shard(window: int):
         once = np.flatnonzero(t["n"].to_numpy() == 1)  # of a passage that stands twice, all windows do
         masks[once] = repeated_windows(index, number, start[once], length[once], window)
         some = pa.array(np.flatnonzero(masks))
-        return pa.table({"seg": t["seg"].take(some), "mask": pa.array(masks.view(np.int64)).take(some)})
+        return pa.table({"seg": t["seg"].take(some), "mask": pa.array(masks.view(np.int64)).take(some), "n": t["n"].take(some)})
 
     return run
 
@@ -165,7 +165,7 @@ def _removed(window: int):
         import numpy as np
         import pyarrow as pa
 
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text"):
             w = Words(texts(batch.column("text")))
             edge = np.zeros(len(w.starts) + 1, np.int64)
             for i, found in enumerate(batch.column("found").to_pylist()):
@@ -193,39 +193,47 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
 
     A word goes if a window that covers it stands at another place too, in any text or its own. Null
     and empty texts have no words; a text of fewer words than a window keeps all; copies of one text
-    are worked out once; null ids and repeated rows count like any row; an empty table gives no rows;
+    are worked out once, and texts, anchors and passages that stand very often are met by broadcasts of
+    bounded size; null ids and repeated rows count like any row; an empty table gives no rows;
     other columns are not read.
     """
     import math
 
     d = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     d = d.withColumn("md5", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    base = store(d.mapInArrow(_scan(window, gram), "row long, doc_id long, md5 binary, n_words long, sha binary, anchors array<long>"))
+    base = store(d.mapInArrow(trimmed(_scan(window, gram)), "row long, doc_id long, md5 binary, n_words long, sha binary, anchors array<long>"))
+    rows = base.count()
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    reps = store(base.groupBy("md5").agg(head.alias("head"), F.count("*").alias("copies"), F.max("n_words").alias("words")).select("md5", "copies", "words", F.col("head.row").alias("row"), F.col("head.doc_id").alias("id")))
+    reps = store(base.groupBy("md5").agg(head.alias("head"), F.count("*").alias("copies"), F.max("n_words").alias("words")).select("md5", "copies", "words", F.col("head.row").alias("row"), F.col("head.doc_id").alias("id")), rows)
 
     # one text of each group of copies speaks for it
     spread = base.select("row", "anchors").join(reps.select("row"), "row", "left_semi").select("row", F.explode("anchors").alias("anchor"))
     spread = store(spread)
     many = spread.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    marked = spread.dropDuplicates(["row", "anchor"]).join(many, "anchor").groupBy("row").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot"))
+    marked = joined_by_size(spread.dropDuplicates(["row", "anchor"]), store(many), ["anchor"], "n", spread.count())
+    marked = marked.groupBy("row").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("n") > hot, F.col("anchor"))).alias("hot"))
     asked = reps.join(marked, "row").select("row", "id", F.col("md5").alias("key"), "anchors", "hot")
     found = d.join(asked, (d["md5"] == asked["key"]) & d["doc_id"].eqNullSafe(asked["id"])).select("row", "md5", "text", "anchors", "hot")
     found = store(found.dropDuplicates(["row"]))
 
-    passages = store(found.select("row", "text", "anchors", "hot").mapInArrow(_passages(window, gram), "row long, start long, windows long, seg binary, route long, words binary"))
+    passages = store(found.select("row", "text", "anchors", "hot").mapInArrow(trimmed(_passages(window, gram)), "row long, start long, windows long, seg binary, route long, words binary"))
     distinct = store(passages.groupBy("seg").agg(F.first("route").alias("route"), F.first("words").alias("words"), F.count("*").alias("n")))
     total = distinct.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = max(1, math.ceil(total / WORD_BYTES / SHARD_WORDS))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
-    masks = store(dealt.groupBy("shard").applyInArrow(_shard(window), "seg binary, mask long"))
+    masks = store(dealt.groupBy("shard").applyInArrow(_shard(window), "seg binary, mask long, n long"))
+    discard(spread, distinct)
 
-    hits = passages.select("row", "start", "seg").join(masks, "seg").groupBy("row").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
-    taken = found.select("row", "md5", "text").join(hits, "row").mapInArrow(_removed(window), "md5 binary, gone long, left_sha binary")
-    copied = reps.filter((F.col("copies") > 1) & (F.col("words") >= window)).select("md5", F.col("words").alias("gone"), F.unhex(F.sha2(F.lit("").cast("binary"), 256)).alias("left_sha"))
+    hits = joined_by_size(passages.select("row", "start", "seg"), masks, ["seg"], "n", passages.count()).groupBy("row").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
+    taken = found.select("row", "md5", "text").join(hits, "row").mapInArrow(trimmed(_removed(window)), "md5 binary, gone long, left_sha binary").withColumn("copies", F.lit(1).cast("long"))
+    copied = reps.filter((F.col("copies") > 1) & (F.col("words") >= window)).select("md5", F.col("words").alias("gone"), F.unhex(F.sha2(F.lit("").cast("binary"), 256)).alias("left_sha"), "copies")
     single = reps.filter("copies = 1").select("md5")
-    changed = store(taken.join(single, "md5", "left_semi").unionByName(copied))
-    out = base.select("doc_id", "md5", "n_words", "sha").join(changed, "md5", "left")
+    changed = store(taken.join(single, "md5", "left_semi").unionByName(copied), rows)
+    discard(reps, found, passages, masks)
+    base = base.select("doc_id", "md5", "n_words", "sha")
+    long = joined_by_size(base.filter(F.col("n_words") >= window), changed, ["md5"], "copies", rows, "left")
+    short = base.filter(F.col("n_words") < window).select("*", F.lit(0).cast("long").alias("gone"), F.lit(None).cast("binary").alias("left_sha"))
+    out = long.drop("copies").unionByName(short)
     return out.select("doc_id", "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.lower(F.hex(F.coalesce("left_sha", "sha"))).alias("kept_sha256"))
 
 
