@@ -11,11 +11,12 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import only, table, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -45,14 +46,19 @@ _ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + "！-
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _GAP = r"[\x20\t-]{1,3}"
 _SPELLED = re.compile(rf"(?<!\w){_WORD}(?:{_GAP}{_WORD})+(?!\w)", re.IGNORECASE)
+_AT, _DOT = "(?:at|@|arroba|arobase)", r"(?:dot|\.|punkt|punto|point)"
+_WORD_DOT = "(?:dot|punkt|punto|point)"
+_B, _NAME = r"[\x20\t]", "[A-Za-z0-9-]"
+#: From the bracket or word on; blanks in front are taken in by hand, as a pattern that begins with
+#: a run of blanks would try every blank of a long run anew.
 _AT_DOT = re.compile(
-    r"(?P<at>[\x20\t]*[\[({<][\x20\t]*(?:at|@|arroba|arobase)[\x20\t]*[\])}>][\x20\t]*)"
-    r"|(?P<dot>[\x20\t]*[\[({<][\x20\t]*(?:dot|\.|punkt|punto|point)[\x20\t]*[\])}>][\x20\t]*)"
-    r"|(?P<wat>[\x20\t]+(?:at|arroba|arobase)[\x20\t]+(?=[A-Za-z0-9-]+(?:[\x20\t]+(?:dot|punkt|punto|point)[\x20\t]+[A-Za-z0-9-]+)+))"
-    r"|(?P<wdot>[\x20\t]+(?:dot|punkt|punto|point)[\x20\t]+)",
+    rf"(?P<at>[\[({{<]{_B}*+{_AT}{_B}*+[\])}}>]{_B}*+)|(?P<dot>[\[({{<]{_B}*+{_DOT}{_B}*+[\])}}>]{_B}*+)"
+    rf"|(?<={_B})(?P<wat>(?:at|arroba|arobase){_B}++(?={_NAME}++{_B}++{_WORD_DOT}{_B}++{_NAME}))|(?<={_B})(?P<wdot>{_WORD_DOT}{_B}++)",
     re.IGNORECASE,
 )
-_AT_DOT_HINT = re.compile(r"[\[({<][\x20\t]*(?:at|@|dot|\.|arroba|arobase|punkt|punto|point)[\x20\t]*[\])}>]|[\x20\t](?:dot|punkt|punto|point)[\x20\t]", re.IGNORECASE)
+_AT_DOT_HINT = re.compile(rf"[\[({{<]{_B}*+(?:{_AT}|{_DOT}){_B}*+[\])}}>]|{_B}{_WORD_DOT}{_B}", re.IGNORECASE)
+#: Letters whose case is ignored like that of an ASCII letter.
+_CASE_KIN = str.maketrans({"ſ": "s", "ı": "i", "İ": "i", "\u212a": "k"})
 
 
 def _luhn(digits: str) -> bool:
@@ -105,30 +111,36 @@ def _plain(c: str) -> str:
 
 
 class _Tape:
-    """Text with, for every character, the source span it stands for; edits keep that record."""
+    """Text that has been rewritten, with a record of every rewriting that leads back to the source."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends, self.edited = text, None, None, False
+        self.text, self.layers = text, []
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace the given ranges, which are in order and apart."""
         if not edits:
             return
-        old_s = self.starts or range(len(self.text))
-        old_e = self.ends or range(1, len(self.text) + 1)
-        text, starts, ends, at = [], [], [], 0
+        parts, at, shift = [], 0, 0
+        new_s, new_e, old_s, old_e = [], [], [], []
         for s, e, new in edits:
-            text.append(self.text[at:s])
-            starts.extend(old_s[at:s])
-            ends.extend(old_e[at:s])
-            text.append(new)
-            starts.extend([old_s[s]] * len(new))
-            ends.extend([old_e[e - 1]] * len(new))
+            parts += (self.text[at:s], new)
+            new_s.append(s + shift)
+            new_e.append(s + shift + len(new))
+            old_s.append(s)
+            old_e.append(e)
+            shift += len(new) - (e - s)
             at = e
-        text.append(self.text[at:])
-        starts.extend(old_s[at:])
-        ends.extend(old_e[at:])
-        self.text, self.starts, self.ends, self.edited = "".join(text), starts, ends, True
+        parts.append(self.text[at:])
+        self.text = "".join(parts)
+        self.layers.append((new_s, new_e, old_s, old_e))
+
+    def source(self, s: int, e: int) -> tuple[int, int]:
+        """The source span that the rewritten text's span s to e stands for."""
+        for new_s, new_e, old_s, old_e in reversed(self.layers):
+            i, j = bisect_right(new_s, s) - 1, bisect_right(new_s, e - 1) - 1
+            s = old_s[i] if i >= 0 and s < new_e[i] else s + (old_e[i] - new_e[i] if i >= 0 else 0)
+            e = old_e[j] if j >= 0 and e - 1 < new_e[j] else e + (old_e[j] - new_e[j] if j >= 0 else 0)
+        return s, e
 
 
 def _spelled_edits(text: str):
@@ -140,19 +152,31 @@ def _spelled_edits(text: str):
             nxt = m.end()
             while nxt < run.end() and text[nxt] in " \t-":
                 nxt += 1
-            yield at, m.end(), DIGIT_WORDS[m[0].lower()]
+            yield at, m.end(), DIGIT_WORDS.get(m[0].translate(_CASE_KIN).lower(), m[0])
             if nxt > m.end():
                 yield m.end(), nxt, ""
             at = nxt
 
 
+def _at_dot_edits(text: str):
+    last = 0
+    for m in _AT_DOT.finditer(text):
+        start = m.start()
+        while start > last and text[start - 1] in " \t":
+            start -= 1
+        if start == m.start() and m.lastgroup in ("wat", "wdot"):
+            continue  # the blanks in front belong to the word before
+        last = m.end()
+        yield start, last, "@" if m.lastgroup in ("at", "wat") else "."
+
+
 def deobfuscated(text: str) -> _Tape:
     tape = _Tape(text)
     if not text.isascii():
         tape.rewrite([(m.start(), m.end(), _plain(m[0])) for m in _ODD.finditer(text)])
     tape.rewrite(list(_spelled_edits(tape.text)))
     if _AT_DOT_HINT.search(tape.text):
-        tape.rewrite([(m.start(), m.end(), "@" if m.lastgroup in ("at", "wat") else ".") for m in _AT_DOT.finditer(tape.text)])
+        tape.rewrite(list(_at_dot_edits(tape.text)))
     return tape
 
 
@@ -160,14 +184,16 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     """(base spans, all spans). A found span that a base span of its kind covers adds nothing."""
     base = detect(text)
     tape = deobfuscated(text)
-    if not tape.edited:
+    if not tape.layers:
         return base, base
-    seen = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
+    starts = {k: [s for kind, s, _ in base if kind == k] for k in KINDS}
+    ends = {k: [e for kind, _, e in base if kind == k] for k in KINDS}
     added = set()
     for kind, s, e in detect(tape.text):
-        span = (tape.starts[s], tape.ends[e - 1])
-        if not any(a <= span[0] and span[1] <= b for a, b in seen[kind]):
-            added.add((kind, *span))
+        s, e = tape.source(s, e)
+        i = bisect_right(starts[kind], s) - 1  # base spans of a kind lie apart: only this one can cover s
+        if i < 0 or ends[kind][i] < e:
+            added.add((kind, s, e))
     return base, sorted({*base, *added}, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -198,7 +224,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     no shuffle, and time is linear in a text's length.
     """
     d = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return d.mapInArrow(_scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return d.mapInArrow(trimmed(_scan), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
