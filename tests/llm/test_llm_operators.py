@@ -360,7 +360,7 @@ def test_op5_case_kin_and_long_texts():
             for c in [*map(chr, range(0x250)), "\u1e9e", "\u212a", "\u212b"]:
                 pii.find(f"{w[:i]}{c}{w[i + 1 :]} {w}")
     assert pii.deobfuscated("f\u0130ve \u017fix").text == "56"
-    n = 400_000
+    n = 200_000
     long = ["(at)" + " " * n, " " * n + "(at)", "x dot" + " " * n + "dot y", "a@b.co " * (n // 7) + " x (at) y.com", "( " * n, "one " * n, "at a " * n, "+1" + "(" * n, "a@" + "b" * n]
     began = time.perf_counter()
     found = [len(pii.find(t)[1]) for t in long]
@@ -543,7 +543,7 @@ def test_op8_votes_against_brute_force(spark):
         assert abs(got[i] - (weight * [taught[k] % 2 for k in top]).sum() / weight.sum()) < 5e-3
 
 
-@pytest.mark.parametrize(("least", "seeds"), [(5, 500_000), (2, 30)])
+@pytest.mark.parametrize(("least", "seeds"), [(5, 500_000), (2, 150)])
 def test_op9_short_items_against_brute_force(spark, least, seeds):
     """All patterns of substitutions in items of 2 to 13 words, the benchmark in one block and in many."""
     from itertools import combinations

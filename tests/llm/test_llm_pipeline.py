@@ -74,14 +74,13 @@ def test_rows_keep_their_place_however_scans_are_cut(spark, tmp_path):
     before = [spark.conf.get(n) for n in names]
     docs = spark.read.parquet(str(tmp_path / "d"))
     try:
-        for find in (exact_dedup.exact_dedup, minhash.near_duplicates):
-            for first, second in (("128m", "2k"), ("2k", "128m")):
-                for n, v in zip(names, (first, "1k"), strict=True):
-                    spark.conf.set(n, v)
-                dropped = common.store(find(docs, placed=True).filter("not kept"))
-                spark.conf.set(names[0], second)
-                left = common.without(docs, dropped)
-                assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == list(range(300))
+        for find, first, second in ((exact_dedup.exact_dedup, "128m", "2k"), (minhash.near_duplicates, "2k", "128m")):
+            for n, v in zip(names, (first, "1k"), strict=True):
+                spark.conf.set(n, v)
+            dropped = common.store(find(docs, placed=True).filter("not kept"))
+            spark.conf.set(names[0], second)
+            left = common.without(docs, dropped)
+            assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == list(range(300))
     finally:
         for n, v in zip(names, before, strict=True):
             spark.conf.set(n, v)
