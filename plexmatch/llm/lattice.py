@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from array import array
+
 import numpy as np
 
 from .textkit import BASE, BASE_INVERSE, GOLDEN, _powers
 
 SLOT_BITS = 21
+COLUMNS = 2048
 
 
 def read_units(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -63,22 +67,6 @@ class Lattice:
             good = self.keys[at] == found
             yield k, row[good], col[good], self.order[at[good]]
 
-    def _forward(self, text: np.ndarray, edges) -> np.ndarray:
-        m, n = text.shape
-        alpha = np.full((m, n + 1), -np.inf)
-        alpha[:, 0] = 0.0
-        ending: list[list] = [[] for _ in range(n + 1)]
-        for k, w in edges:
-            for j in range(k, n + 1):
-                ending[j].append((k, w[:, j - k]))
-        for j in range(1, n + 1):
-            terms = np.stack([alpha[:, j - k] + w for k, w in ending[j]])
-            top = terms.max(axis=0)
-            np.subtract(terms, np.where(np.isfinite(top), top, 0.0), out=terms)
-            with np.errstate(divide="ignore"):
-                alpha[:, j] = top + np.log(np.exp(terms).sum(axis=0))
-        return alpha
-
     def _weights(self, text: np.ndarray):
         m, n = text.shape
         dense, sparse = [], []
@@ -90,36 +78,88 @@ class Lattice:
                 sparse.append((k, row, col, unit))
         return dense, sparse
 
+    def _forward(self, text: np.ndarray) -> np.ndarray:
+        """Log-probability of every prefix. COLUMNS places are worked on at once, so a long word takes a few numbers a byte."""
+        m, n = text.shape
+        if m == 1:
+            return np.array(self._walk(text, False))[None]
+        alpha = np.full((m, n + 1), -np.inf)
+        alpha[:, 0] = 0.0
+        for at in range(0, n, COLUMNS):
+            low, high = max(0, at - self.longest), min(n, at + COLUMNS)
+            dense, _ = self._weights(text[:, low:high])
+            for j in range(at + 1, high + 1):
+                alpha[:, j] = _log_sum([alpha[:, j - k] + w[:, j - k - low] for k, w in dense if j - k >= low])
+        return alpha
+
+    def _walk(self, text: np.ndarray, back: bool) -> array:
+        """Of one word, the log-probability of every prefix, or with `back` of every suffix: unit by unit, with no array a place."""
+        n = text.shape[1]
+        out = array("d", [-math.inf]) * (n + 1)
+        out[n if back else 0] = 0.0
+        starts = range(0, n, COLUMNS)
+        for at in reversed(starts) if back else starts:
+            high = min(n, at + COLUMNS)
+            low, far = (at, min(n, high + self.longest)) if back else (max(0, at - self.longest), high)
+            ending: list[list] = [[] for _ in range(high - at)]
+            for k, _, col, unit in self._edges(text[:, low:far]):
+                # the place a unit leads to, and the one it comes from
+                to, of = (col + low, col + low + k) if back else (col + low + k, col + low)
+                here = (to >= at) & (to < high) if back else (to > at) & (to <= high)
+                for x, y, p in zip((to[here] - at - (not back)).tolist(), of[here].tolist(), self.log_p[unit[here]].tolist(), strict=True):
+                    ending[x].append((y, p))
+            for j in reversed(range(high - at)) if back else range(high - at):
+                terms = [out[y] + p for y, p in ending[j]]
+                top = max(terms, default=-math.inf)
+                if top > -math.inf:
+                    out[at + j + (not back)] = top + math.log(sum([math.exp(x - top) for x in terms]))
+        return out
+
     def log_prob(self, words: list[bytes]) -> np.ndarray:
         """Natural log of the summed probability of all segmentations of each word."""
         out = np.empty(len(words))
         for at, size, text in _padded(words):
-            dense, _ = self._weights(text)
-            out[at] = self._forward(text, dense)[np.arange(len(at)), size]
+            out[at] = self._forward(text)[np.arange(len(at)), size]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of every unit over the words, each taken `counts` times."""
         total = np.zeros(len(self.log_p))
-        for at, size, text in _padded(words):
+        for which, size, text in _padded(words):
             m, n = text.shape
-            dense, sparse = self._weights(text)
-            alpha = self._forward(text, dense)
+            alpha = self._forward(text)
+            whole = alpha[np.arange(m), size]
             beta = np.full((m, n + 1), -np.inf)
             beta[np.arange(m), size] = 0.0
-            for j in range(n - 1, -1, -1):
-                terms = np.stack([beta[:, j], *[beta[:, j + k] + w[:, j] for k, w in dense if j + k <= n]])
-                top = terms.max(axis=0)
-                np.subtract(terms, np.where(np.isfinite(top), top, 0.0), out=terms)
-                with np.errstate(divide="ignore"):
-                    beta[:, j] = top + np.log(np.exp(terms).sum(axis=0))
-            whole = alpha[np.arange(m), size]
-            for k, row, col, unit in sparse:
-                use = np.exp(alpha[row, col] + self.log_p[unit] + beta[row, col + k] - whole[row]) * counts[at][row]
-                total += np.bincount(unit, use, minlength=len(total))
+            if m == 1:
+                beta[0] = self._walk(text, True)
+            for at in range((n - 1) // COLUMNS * COLUMNS, -1, -COLUMNS):
+                high = min(n, at + COLUMNS)
+                block = text[:, at : min(n, high + self.longest)]
+                if m == 1:
+                    sparse = self._edges(block)
+                else:
+                    dense, sparse = self._weights(block)
+                    for j in range(high - 1, at - 1, -1):
+                        beta[:, j] = _log_sum([beta[:, j], *[beta[:, j + k] + w[:, j - at] for k, w in dense if j + k <= n and j - at < w.shape[1]]])
+                for k, row, col, unit in sparse:
+                    mine = col < high - at
+                    r, c, u = row[mine], col[mine] + at, unit[mine]
+                    use = np.exp(alpha[r, c] + self.log_p[u] + beta[r, c + k] - whole[r]) * counts[which][r]
+                    total += np.bincount(u, use, minlength=len(total))
         return total
 
 
+def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    if not terms:
+        return -np.inf
+    t = np.stack(terms)
+    top = t.max(axis=0)
+    np.subtract(t, np.where(np.isfinite(top), top, 0.0), out=t)
+    with np.errstate(divide="ignore"):
+        return top + np.log(np.exp(t).sum(axis=0))
+
+
 def _padded(words: list[bytes], cells: int = 120_000):
     """Groups of words of similar length as rows of bytes with a leading space, zeros behind."""
     size = np.array([len(w) for w in words]) + 1

@@ -13,9 +13,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, only, sliced, store, table, texts
+from .common import crc_mod, only, sliced, store, table, texts, trimmed
 from .lattice import Lattice, read_units
-from .textkit import Words
+from .textkit import SHORT, Words, fold
 
 FOLDS, HELD_OUT = 7, 2
 EM_ROUNDS = 2
@@ -37,7 +37,7 @@ def _distinct(batches):
     for batch in sliced(batches, "text"):
         w = Words(texts(batch.column("text")))
         train = np.repeat(~np.asarray(batch.column("held_out")), w.counts)
-        _, first, which = np.unique(w.hashes(fold_case=True), return_index=True, return_inverse=True)
+        first, which = w.distinct(fold_case=True)
         n = np.bincount(which, train, minlength=len(first)).astype(np.int64)
         data = w.data.tobytes().lower()
         words = [data[s:e] for s, e in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
@@ -60,21 +60,47 @@ def _expect(units, log_p):
 
 def _word_scores(units, log_p):
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         lattice = Lattice(units, log_p)
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            w = Words(words)
-            pairs = [batch.column("word"), batch.column("c"), pa.array(w.hashes().view(np.int64)), pa.array(lattice.log_prob(words) / math.log(10))]
-            yield pa.RecordBatch.from_arrays(pairs, names=["word", "c", "hash", "lattice"])
+            scores = lattice.log_prob(batch.column("word").to_pylist()) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(scores)], names=["word", "c", "lattice"])
 
     return run
 
 
-def _doc_scores(head, base, known, lattice, end):
-    """Sums over head words, and the other words with their counts. head: sorted hashes."""
+class Head:
+    """Common words in order of their hashes, with what tells each from any other word, and values of theirs."""
+
+    def __init__(self, words: list[bytes], values):
+        import numpy as np
+
+        w = Words([b" ".join(words)])
+        order = np.argsort(w.hashes())
+        self.hashes = w.hashes()[order]
+        self.first, self.last, self.size = (x[order] for x in w.keys())
+        self.data, self.starts = w.data, w.starts[order]
+        self.values = [v[order] for v in values]
+
+    def find(self, w: Words):
+        """(places in the head of the text's words, whether each is that word: by all its bytes)."""
+        import numpy as np
+
+        h = w.hashes(fold_case=True)
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool), h
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        first, last, size = w.keys(fold_case=True)
+        hit = (self.hashes[at] == h) & (self.first[at] == first) & (self.last[at] == last) & (self.size[at] == size)
+        long = np.flatnonzero(hit & (size > SHORT))
+        if len(long):
+            hit[long] = w.agree(long, self.data, self.starts[at[long]], fold_case=True)
+        return at, hit, h
+
+
+def _doc_scores(head, end):
+    """Sums over head words, and the other words with their counts."""
 
     def run(batches):
         import numpy as np
@@ -85,13 +111,13 @@ def _doc_scores(head, base, known, lattice, end):
         for batch in sliced(batches, "text"):
             n = batch.num_rows
             w = Words(texts(batch.column("text")))
-            h, owner = w.hashes(fold_case=True), w.owner()
-            at = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
-            hit = head[at] == h if len(head) else np.zeros(len(h), bool)
-            sums = [np.bincount(owner[hit], v[at[hit]], minlength=n) + e for v, e in zip((known, base, lattice), end, strict=True)]
+            owner = w.owner()
+            at, hit, h = head.find(w)
+            sums = [np.bincount(owner[hit], v[at[hit]], minlength=n) + e for v, e in zip(head.values, end, strict=True)]
             rest = np.flatnonzero(~hit)
             rest = rest[np.lexsort((h[rest], owner[rest]))]
             same = (h[rest][1:] == h[rest][:-1]) & (owner[rest][1:] == owner[rest][:-1])
+            same &= _equal_words(w, rest)
             first = np.flatnonzero(np.r_[True, ~same]) if len(rest) else np.zeros(0, np.int64)
             tf = np.diff(np.r_[first, len(rest)])
             one = rest[first]
@@ -116,6 +142,16 @@ def _doc_scores(head, base, known, lattice, end):
     return run
 
 
+def _equal_words(w: Words, rest):
+    """Whether each of words `rest` has the same bytes as the one before."""
+    first, last, size = (x[rest] for x in w.keys(fold_case=True))
+    good = (first[1:] == first[:-1]) & (last[1:] == last[:-1]) & (size[1:] == size[:-1])
+    long = (good & (size[1:] > SHORT)).nonzero()[0]
+    if len(long):
+        good[long] = w.agree(rest[long + 1], fold(w.data), w.starts[rest[long]], fold_case=True)
+    return good
+
+
 def lm_scores(docs: DataFrame, vocabulary: str | None = None, em_rounds: int = EM_ROUNDS, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per input row.
 
@@ -131,7 +167,7 @@ def lm_scores(docs: DataFrame, vocabulary: str | None = None, em_rounds: int = E
     spark = docs.sparkSession
     d = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     d = d.withColumn("held_out", crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT)
-    counts = store(d.mapInArrow(_distinct, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    counts = store(d.mapInArrow(trimmed(_distinct), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     train_docs = d.select("held_out").filter("not held_out").count()
     got = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     n, v = (got[0] or 0) + train_docs, (got[1] or 0) + (train_docs > 0)
@@ -141,25 +177,24 @@ def lm_scores(docs: DataFrame, vocabulary: str | None = None, em_rounds: int = E
     end_p = math.log(END_SHARE)
     for _ in range(em_rounds if got[0] else 0):
         uses = np.full(len(units), UNIT_SMOOTHING)
-        found = counts.filter("c > 0").mapInArrow(_expect(units, log_p), "unit long, uses double").groupBy("unit").agg(F.sum("uses").alias("uses"))
+        found = counts.filter("c > 0").mapInArrow(trimmed(_expect(units, log_p)), "unit long, uses double").groupBy("unit").agg(F.sum("uses").alias("uses"))
         for r in found.collect():  # a row for each unit of the vocabulary at most
             uses[r["unit"]] += r["uses"]
         whole = uses.sum() + train_docs + UNIT_SMOOTHING
         log_p, end_p = np.log(uses / whole), math.log((train_docs + UNIT_SMOOTHING) / whole)
 
-    words = store(counts.mapInArrow(_word_scores(units, log_p), "word binary, c long, hash long, lattice double"))
+    words = store(counts.mapInArrow(trimmed(_word_scores(units, log_p)), "word binary, c long, lattice double"))
     least, room = 1, head_words
     for r in words.filter("c > 0").groupBy("c").count().orderBy(F.desc("c")).limit(head_words + 1).collect():
         if r["count"] > room:
             least = r["c"] + 1
             break
         room -= r["count"]
-    head = words.filter(F.col("c") >= least).select("hash", "c", "lattice").toPandas()
-    head["hash"] = head["hash"].to_numpy(np.int64).view(np.uint64)
-    head = head.sort_values("hash")
-    base = np.log10(head["c"].to_numpy(float) + 1) - below
+    common = words.filter(F.col("c") >= least).select("word", "c", "lattice").toArrow()  # head_words rows at most
+    base = np.log10(common["c"].to_numpy() + 1.0) - below
+    head = Head(common["word"].to_pylist(), (np.ones(len(common)), base, common["lattice"].to_numpy()))
     end = (int(train_docs > 0), math.log10(train_docs + 1) - below, end_p / math.log(10))
-    run = _doc_scores(head["hash"].to_numpy(np.uint64), base, np.ones(len(head)), head["lattice"].to_numpy(float), end)
+    run = trimmed(_doc_scores(head, end))
     scored = store(d.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, tf array<long>"))
     rest = scored.select("row", F.explode(F.arrays_zip("words", "tf")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.tf").alias("tf"))
     tail = rest.join(words.filter(F.col("c") < least), "word").groupBy("row").agg(
