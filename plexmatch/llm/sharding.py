@@ -10,6 +10,7 @@ from .common import only, store, table
 ROUNDS = 6
 PRIME = 2147483647
 BUCKETS = 4096
+COPIES = 4096  # of one row, unfolded at once
 SHARDS = 24
 SEED = 20240229
 
@@ -111,8 +112,10 @@ def number_rows(df: DataFrame) -> tuple[DataFrame, int]:
     order = Window.partitionBy("bucket").orderBy(F.asc_nulls_first("doc_id"), "size", "text_crc32")
     before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     first = rows.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(offsets), "bucket")
-    blocks = first.withColumn("block", F.explode(F.sequence(F.lit(0), F.expr("(n - 1) div 4096"))))
-    copy = F.explode(F.sequence(F.col("block") * 4096, F.least(F.col("n"), F.col("block") * 4096 + 4096) - 1))
+    blocks = first.withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {COPIES}"))))
+    if rows.filter(F.col("n") > COPIES).limit(1).count():
+        blocks = blocks.repartition("bucket", "text_crc32", "block")  # copies of one row are unfolded in many tasks
+    copy = F.explode(F.sequence(F.col("block") * COPIES, F.least(F.col("n"), F.col("block") * COPIES + COPIES) - 1))
     numbered = blocks.withColumn("copy", copy).withColumn("row_no", F.col("start") + F.col("before") + F.col("copy"))
     return numbered.select("doc_id", "size", "text_crc32", "row_no"), total
 
