@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, only, sliced, table, texts
+from .common import crc_mod, only, sliced, table, texts, trimmed
 from .textkit import Words, byte_grams
 
 FOLDS, HELD_OUT = 5, 0
@@ -51,7 +51,7 @@ def _frequencies(documents: list[bytes]):
 
 def _blocks(batches):
     """Pieces of BLOCK rows at most and some megabytes of text."""
-    for batch in sliced(batches, "text", 2 << 20):
+    for batch in sliced(batches, "text"):
         for at in range(0, batch.num_rows, BLOCK):
             yield batch.slice(at, BLOCK)
 
@@ -120,10 +120,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_R
     taught = only(labels, id_col, label_col).toDF("doc_id", "label").dropna().withColumn("doc_id", F.col("doc_id").cast("long"))
     taught = taught.filter(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.avg(F.col("label").cast("double")).alias("label"))
     chosen = taught.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(learn_rows)
-    sample = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label double, features binary")
+    sample = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(trimmed(_features), "doc_id long, label double, features binary")
     sample = sample.dropDuplicates(["doc_id", "features"]).limit(learn_rows).toPandas().sort_values("doc_id")
     df = np.zeros((1 << BITS) + 1)
-    for r in d.select("text").mapInArrow(_document_frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in d.select("text").mapInArrow(trimmed(_document_frequency), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r["term"]] = r["n"]  # a row for each bucket
     idf = np.r_[np.log((1 + df[-1]) / (1 + df[:-1])) + 0.3, np.ones(SHARES)].astype(np.float32)
 
@@ -141,7 +141,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_R
         axes, vectors, marks = np.zeros((width, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0)
     prior = float(marks.mean()) if len(marks) else 0.5
     scored = d.withColumn("held_out", crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT)
-    return scored.mapInArrow(_vote(idf, axes, vectors, marks, prior), "doc_id long, held_out boolean, score double, predicted int")
+    return scored.mapInArrow(trimmed(_vote(idf, axes, vectors, marks, prior)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
