@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, from_files, only, place, sliced, store, table, texts, trimmed, without
+from .common import crc_mod, from_files, joined_by_size, only, place, sliced, store, table, texts, trimmed, without
 from .textkit import byte_grams, joined
 
 GRAM, BITS = 3, 14
@@ -29,7 +29,7 @@ UND, UND_PRIOR = "und", 1e-3
 LEAST_POSTERIOR = 0.3
 ACCEPTED = f"language != '{UND}' AND posterior >= {LEAST_POSTERIOR}"
 FOLDS = 5
-MAX_BROADCAST_HOSTS = 50_000  # more hosts than this are joined by a shuffle of scores, not of texts
+MAX_BROADCAST_HOSTS = 50_000
 _MARKUP = r"(?is)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})"
 _TOP_LEVEL = r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*\.([a-z]{2})(?:[:/?#]|$)"
 _PATH = r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*/([a-z]{2})(?:[/?#]|$)"
@@ -107,8 +107,8 @@ def learn(labelled: DataFrame) -> Model:
         block = languages[at : at + MAX_LANGUAGES]
         counts = np.full((len(block), 1 << BITS), SMOOTHING)
         rows = known.filter(F.col("label").isin(block)).select("text", "label")
-        for r in rows.mapInArrow(trimmed(_count(block)), "language int, gram int, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).collect():
-            counts[r["language"], r["gram"]] += r["n"]  # MAX_LANGUAGES * 2**BITS rows at most
+        found = rows.mapInArrow(trimmed(_count(block)), "language int, gram int, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
+        counts[found["language"].to_numpy(), found["gram"].to_numpy()] += found["n"].to_numpy()  # MAX_LANGUAGES * 2**BITS rows at most
         blocks.append(np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
     flat = np.full((1, 1 << BITS), -BITS * np.log(2)).astype(np.float32)
     blocks[-1:] = [np.concatenate([*blocks[-1:], flat])]
@@ -142,8 +142,7 @@ def identify(rows: DataFrame, model: Model, hosts: DataFrame, keep: list[str]) -
     domain = _level(hosts, "domain", names, None, corpus, None)
     host = _level(hosts.filter("host != ''"), "host", names, domain, corpus, "domain")
     host = store(host)
-    if host.count() <= MAX_BROADCAST_HOSTS:
-        host = F.broadcast(host)
+    few = host.count() <= MAX_BROADCAST_HOSTS
     known = F.array(*map(F.lit, names))
     others = max(1, len(names) - 1)
     scored = rows.select(*keep, "host", "declared", "address", "text")
@@ -164,7 +163,13 @@ def identify(rows: DataFrame, model: Model, hosts: DataFrame, keep: list[str]) -
     told, at = witness("declared", WITNESS_DECLARED), witness("address", WITNESS_ADDRESS)
     share = F.coalesce(F.col("host_share"), F.array(*map(F.lit, corpus)))
     prior = F.zip_with(known, share, lambda x, p: F.log(p) + told(x) + at(x))
-    fused = scored.join(host, "host", "left").withColumn("total", F.zip_with("score", prior, lambda a, b: a + b))
+    if few:
+        fused = scored.join(F.broadcast(host), "host", "left")
+    else:  # a shuffle of scores, not of texts; rows without a host are spread by their scores
+        sizes = rows.groupBy("host").agg(F.count("*").alias("rows"))
+        scored = scored.withColumn("host", F.when(F.col("host") == "", F.concat(F.lit(" "), F.xxhash64("score").cast("string"))).otherwise(F.col("host")))
+        fused = joined_by_size(scored, store(host.join(sizes, "host")), ["host"], "rows", rows.count(), "left")
+    fused = fused.withColumn("total", F.zip_with("score", prior, lambda a, b: a + b))
     top = F.array_max("total")
     weight = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     language = F.element_at(known, F.array_position("total", top).cast("int"))
